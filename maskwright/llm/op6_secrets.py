@@ -129,10 +129,10 @@ def _key() -> Column:
 def build_index(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Postings (gram, key): the texts that hold a trigram of the rules' queries."""
     vocab = vocabulary(rules)
-    low = F.lower(F.col("text"))
-    held = F.array_compact(F.array(*(F.when(low.contains(F.lit(t)), F.lit(i)) for i, t in enumerate(vocab))))
-    rows = docs.where("text is not null").select(_key().alias("key"), held.alias("held")).where("size(held) > 0")
-    return rows.select("key", F.explode("held").alias("gram"))
+    numbered = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(vocab)))
+    # bound once for each row: as a plain column the folded text would be made anew for every trigram
+    held = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter(numbered, lambda v: low.contains(v["t"]))))
+    return docs.select(_key().alias("key"), F.explode(held["i"]).alias("gram"))
 
 
 def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
