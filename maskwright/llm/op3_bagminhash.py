@@ -14,8 +14,9 @@ Bands of the signature give candidate buckets. Equal texts are one node. Each
 node is paired with its buckets' leaders, first with the one it shares most
 bands with; every pair is verified by the exact overlap of both bags. Pairs whose
 ends are already in one component are skipped, others are verified in further
-rounds, in which the components that a bucket still holds are paired with each
-other's members. Components come from min-label propagation with pointer jumps.
+rounds, in which a member of each component that a bucket still holds, another one
+each time, is paired with one of a leading component, until two rounds in a row
+bring no link. Components come from min-label propagation with pointer jumps.
 
 Defined cases: null and empty texts are equal to each other and join nothing
 else; texts of one to four words are one shingle of all their words; a null doc_id
@@ -37,7 +38,7 @@ from ._common import Scratch, gram_hashes, mix, small_side, word_hashes
 
 SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 0.8, 24, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-BROADCAST_ROWS, ROUNDS = 1_000_000, 6
+BROADCAST_ROWS = 1_000_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -197,7 +198,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     edges = verified(best, "edges-0")
     labels = components(s, edges, "c0")
     tried = s.save(best, "tried-0")
-    for i in range(1, ROUNDS):
+    i = idle = 0
+    while idle < 2:  # two rounds in a row without a new link
+        i += 1
         comp = labels.select(F.col("node").alias("cn"), "label")
         member = s.save(buckets.join(comp, F.col("dg") == F.col("cn"), "left").select("key", "dg", "head", F.coalesce("label", "dg").alias("label")), f"member-{i}")
         # of every component in a bucket one member, another each round, and the bucket's leading component's
@@ -218,7 +221,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
             break
         more = verified(fresh, f"edges-{i}")
         tried = s.save(tried.union(fresh), f"tried-{i}")
+        idle += 1
         if not more.isEmpty():
+            idle = 0
             edges = edges.union(more)
             labels = components(s, edges, f"c{i}")
     s.drop("texts", "buckets", "pairs", "needed")
