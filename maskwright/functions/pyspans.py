@@ -1,0 +1,32 @@
+"""Spans of one text in plain Python: operators' own patterns, cuts of huge files, and the check on the native plan."""
+
+from __future__ import annotations
+
+from .registry import Detector, accepts
+
+
+def candidates(text: str, detectors: list[Detector], allow: frozenset[str] = frozenset(), only_python: bool = False):
+    out = []
+    for order, d in enumerate(detectors):
+        if only_python and not d.python_only:
+            continue
+        p = d.compiled()
+        group = "pii" if "pii" in p.groupindex else 2 if d.split else 0
+        for m in p.finditer(text):
+            value = m.group(group)
+            if value and accepts(d.accept, value if d.split else m.group(0), text, m.start()) and value.casefold() not in allow:
+                out.append((-d.priority, -len(value), m.start(group), order, m.end(group), value))
+    return out
+
+
+def claim(found) -> list:
+    """Of overlapping candidates the one of highest priority, then the longest, then the first."""
+    taken: list = []
+    for c in sorted(found):
+        if not any(c[2] < t[4] and t[2] < c[4] for t in taken):
+            taken.append(c)
+    return sorted(taken, key=lambda c: c[2])
+
+
+def spans(text: str, detectors: list[Detector], allow: frozenset[str] = frozenset()) -> list:
+    return claim(candidates(text, detectors, allow))
