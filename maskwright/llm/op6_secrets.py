@@ -132,7 +132,8 @@ def build_index(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     numbered = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(vocab)))
     # bound once for each row: as a plain column the folded text would be made anew for every trigram
     held = F.flatten(F.transform(F.array(F.lower("text")), lambda low: F.filter(numbered, lambda v: low.contains(v["t"]))))
-    return docs.select(_key().alias("key"), F.explode(held["i"]).alias("gram"))
+    # a plain explode would have Catalyst look for all trigrams once more, for a filter on the array's size
+    return docs.select(_key().alias("key"), F.explode_outer(held["i"]).alias("gram")).where("gram is not null")
 
 
 def candidates(index: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
