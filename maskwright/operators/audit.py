@@ -16,7 +16,7 @@ def leaks(docs: DataFrame, detectors, allow=frozenset(), first_line: str | None
     found = with_spans(docs.where("text is not null"), detectors, "text", allow)
     category = F.element_at(F.array(*(F.lit(d.category) for d in detectors)), F.col("x.det") + 1)
     add = F.col(first_line) if first_line else F.lit(0)
-    return found.select(F.col("rel").alias("file"), "text", add.alias("add"), F.explode("spans").alias("x")).select("file", category.alias("category"), (line_number(F.col("text"), F.col("x.s")) + F.col("add")).alias("line"), F.col("x.s").alias("start"))
+    return found.select(F.col("rel").alias("file"), "text", add.alias("add"), F.explode_outer("spans").alias("x")).where("x is not null").select("file", category.alias("category"), (line_number(F.col("text"), F.col("x.s")) + F.col("add")).alias("line"), F.col("x.s").alias("start"))
 
 
 def stray(files: DataFrame) -> DataFrame:

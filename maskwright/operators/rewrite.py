@@ -57,7 +57,7 @@ def alias_tokens(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
     none = F.expr("cast(array() as array<struct<s:int,e:int,mk:string>>)")
     found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return docs.select(*keys, F.explode(F.when(t.contains("<"), found)).alias("x")).select(*keys, "x.s", "x.e", "x.mk")
+    return docs.select(*keys, F.explode_outer(F.when(t.contains("<"), found)).alias("x")).where("x is not null").select(*keys, "x.s", "x.e", "x.mk")
 
 
 def reverse(docs: DataFrame, entries: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -122,7 +122,8 @@ def _allow_udf(allow: frozenset[str]):
 
 def occurrences(df: DataFrame, detectors: list[Detector], keys: list[str], spans: str = "spans") -> DataFrame:
     """A row per span: ``keys``, place, value, folded key and what the alias is made from."""
-    rows = df.select(*keys, F.explode(spans).alias("x")).select(*keys, F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.value").alias("value"), F.col("x.det").alias("det"))
+    # a plain explode would have Catalyst search once more, for a filter on the array's size
+    rows = df.select(*keys, F.explode_outer(spans).alias("x")).where("x is not null").select(*keys, F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.value").alias("value"), F.col("x.det").alias("det"))
 
     def by(field):
         values = [getattr(d, field) for d in detectors]

@@ -1,6 +1,461 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import registry
+from ..operators import aliases, audit, custody, flagging, report, rewrite
+from ..operators.scratch import written
+from ..operators.spans import line_number, occurrences, with_spans
+from ..sources import config, filetree
+from .logs import CTES, FOLDED, KINDS, LOGS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def values(columns: str, *rows) -> str:
+    """SQL for fixed rows."""
+    def one(v):
+        return "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+    names = [c.split() for c in columns.split(", ")]
+    kinds = {"long": "bigint", "int": "integer", "string": "varchar", "boolean": "boolean", "double": "double"}
+    casts = ", ".join(f"cast({n} as {kinds[k]}) {n}" for n, k in names)
+    return f"select {casts} from (values {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({', '.join(n for n, _ in names)})"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return spark.sql(LOGS.replace("from orders", "from {orders}"), orders=orders).select("id", F.col("txt").alias("text"))
+
+
+def found(df: DataFrame, detectors=None, keys=("id",), allow=frozenset()) -> DataFrame:
+    detectors = registry.active() if detectors is None else detectors
+    return occurrences(with_spans(df, detectors, "text", allow), detectors, list(keys))
+
+
+def fixed(spark: SparkSession, *texts: str) -> DataFrame:
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+
+
+# --- detectors -------------------------------------------------------------
+
+def _detect(category: str):
+    def run(spark, sf_dir):
+        dets = registry.active(enable={"phone"})
+        return found(logs(spark, sf_dir), dets).where(F.col("category") == category).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "value")
+
+    run.__name__ = f"detect_{category}"
+    return query(f"with logs as ({LOGS}) select id, cast(length(pre) as bigint) s, cast(length(pre) + length(val) as bigint) e, val as value from logs where cat = '{category}'")(run)
+
+
+for _k in KINDS:
+    if _k[0]:
+        _detect(_k[0])
+
+
+@query(f"with logs as ({LOGS}) select cat category, count(*) n from logs where cat <> '' group by cat")
+def detector_counts(spark, sf_dir):
+    return found(logs(spark, sf_dir), registry.active(enable={"phone"})).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"with logs as ({LOGS}) select count(*) n_on, 0 n_off from logs where cat = 'phone'")
+def phone_optin(spark, sf_dir):
+    rows = logs(spark, sf_dir).where("text like 'call %'")
+    on = found(rows, registry.active(enable={"phone"})).where("category = 'phone'").agg(F.count("*").alias("n_on"))
+    off = found(rows).where("category = 'phone'").agg(F.count("*").cast("int").alias("n_off"))
+    return on.crossJoin(off)  # two rows of one
+
+
+@query("select doc_id, count(*) n from (select doc_id, unnest(regexp_extract_all(text, '[0-9.]+')) run from documents) where regexp_full_match(run, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') group by doc_id")
+def documents_ipv4(spark, sf_dir):
+    dets = [d for d in registry.BUILTIN if d.category == "ipv4"]
+    return found(table(spark, sf_dir, "documents").select("doc_id", "text"), dets, ("doc_id",)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("select page_id, 0::bigint s, cast(length(url) as bigint) e, url as value from pages where regexp_full_match(url, '(https?|ftp)://[^ ]*[^ .,;:!?]')")
+def pages_url(spark, sf_dir):
+    got = found(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text")), keys=("page_id",))
+    return got.where("category = 'url'").select("page_id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "value")
+
+
+@query("select count(*) n from conversations where false")
+def conversations_clean(spark, sf_dir):
+    return found(table(spark, sf_dir, "conversations").select("conv_id", "text"), keys=("conv_id",)).agg(F.count("*").alias("n"))
+
+
+@query()
+def documents_spans(spark, sf_dir):
+    return found(table(spark, sf_dir, "documents").select("doc_id", "text"), keys=("doc_id",)).select("doc_id", "s", "e", "category")
+
+
+# --- tests on matches and the overlap claim --------------------------------
+
+_CARD = "'4111 1111 1111 ' || lpad('' || (o_orderkey % 10000), 4, '0')"
+_LUHN = " + ".join(f"(case when {i} % 2 = 0 and 2 * d{i} > 9 then 2 * d{i} - 9 when {i} % 2 = 0 then 2 * d{i} else d{i} end)" for i in range(16))
+_DIGITS = ", ".join(f"cast(substr(replace(card, ' ', ''), {i + 1}, 1) as integer) d{i}" for i in range(16))
+
+
+@query(f"select id, card as value from (select id, card, {_DIGITS} from (select o_orderkey id, {_CARD} card from orders)) where ({_LUHN}) % 10 = 0")
+def luhn_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", f"'card ' || {_CARD} || ' paid' text")
+    return found(rows).where("category = 'credit_card'").select("id", "value")
+
+
+@query("select o_orderkey id, '10.0.' || (o_orderkey % 256) || '.1' as value from orders where o_orderkey % 4 in (0, 3)")
+def version_context_filter(spark, sf_dir):
+    lead = "case o_orderkey % 4 when 0 then 'host ' when 1 then 'Firmware version: ' when 2 then 'running v' else 'version' || chr(10) end"
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", f"{lead} || '10.0.' || (o_orderkey % 256) || '.1 ok' text")
+    return found(rows).where("category = 'ipv4'").select("id", "value")
+
+
+@query(values("id long, s long, e long, category string, value string", (0, 4, 34, "url", "https://host.corp/x?ip=1.2.3.4"), (1, 0, 19, "credit_card", "4111 1111 1111 1111"), (2, 5, 17, "email", "jane@x.co.uk"), (3, 0, 8, "ipv4", "10.0.0.5")))
+def overlap_claim(spark, sf_dir):
+    df = fixed(spark, "see https://host.corp/x?ip=1.2.3.4 ok", "4111 1111 1111 1111", "mail jane@x.co.uk now", "10.0.0.5")
+    return found(df).select("id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), "category", "value")
+
+
+@query(values("id long, category string, value string", (1, "fqdn", "b.com"), (2, "ipv6", "::1ff:fe23:4567:890a"), (4, "ipv6", "::"), (5, "fqdn", "1.2.3.de")))
+def edge_matches(spark, sf_dir):
+    df = fixed(spark, "from 10.0.0.5.", "mail a@b.com.", "fe80::1ff:fe23:4567:890a", "lo ::1 up", "std::cout", "1.2.3.de", "4111 1111 1111 1111 123")
+    return found(df).select("id", "category", "value")
+
+
+@query(f"with logs as ({LOGS}) select cat category, min(length(val)) shortest, max(length(val)) longest, cast(sum(length(val)) as bigint) total from logs where cat not in ('', 'phone') group by cat")
+def span_lengths(spark, sf_dir):
+    n = (F.col("e") - F.col("s")).cast("long")
+    return found(logs(spark, sf_dir)).groupBy("category").agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("total"))
+
+
+@query(f"with logs as ({LOGS}) select cat category, count(*) n from logs where cat not in ('', 'phone', 'credit_card') and not (cat = 'mac' and val = 'de:ad:be:ef:01:11') group by cat")
+def allowlist_anti(spark, sf_dir):
+    allow = frozenset({"4111 1111 1111 1111", "de:ad:be:ef:01:11"})
+    return found(logs(spark, sf_dir), allow=allow).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey id, case when o_orderkey % 2 = 0 then 'Falcon' else 'FALCON' end as value, '<DENY_1>' as alias from orders")
+def denylist_literal(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", "'project ' || case when o_orderkey % 2 = 0 then 'Falcon' else 'FALCON' end || ' starts' text")
+    occ = written(found(rows, registry.active(denylist=["falcon"])).withColumn("file_ord", F.col("id")).withColumn("rel", F.lit("x")), "occ")
+    return occ.join(_number(spark, occ).select("ckey", "alias"), "ckey").select("id", "value", "alias")
+
+
+@query("select o_orderkey id, '' || o_orderkey as value, 'ticket no' as category from orders")
+def custom_regex(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", "'case TKT-' || o_orderkey || ' open' text")
+    return found(rows, registry.active(custom=[{"name": "ticket no", "value": r"TKT-(?P<pii>\d+)"}])).select("id", "value", "category")
+
+
+@query("select case when o_orderkey % 2 = 0 then 'asset.A(1' else 'ASSET.a(1' end as original, count(*) n from orders group by 1")
+def custom_literal(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", "'on ' || case when o_orderkey % 2 = 0 then 'asset.A(1' else 'ASSET.a(1' end || ' ok' text")
+    occ = written(found(rows, registry.active(custom=[{"name": "asset", "type": "literal", "value": "asset.a(1"}])).withColumn("file_ord", F.col("id")).withColumn("rel", F.lit("x")), "occ")
+    return _number(spark, occ).select("original", F.col("count").alias("n"))
+
+
+@query(f"with logs as ({LOGS}) select cat category, count(*) n from logs where cat not in ('', 'phone', 'credit_card', 'windows_user_path', 'windows_sid') group by cat")
+def profile_network_gear(spark, sf_dir):
+    cfg = config.resolve("network-gear")
+    return found(logs(spark, sf_dir), registry.active(cfg.disable, cfg.enable)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+# --- aliases and rewriting -------------------------------------------------
+
+def _number(spark, occ, entities=None):
+    return aliases.assign(occ, aliases.empty_entries(spark), aliases.empty_entities(spark) if entities is None else entities)
+
+
+def _masked(spark, sf_dir):
+    docs = written(with_spans(logs(spark, sf_dir), registry.active()), "spans")
+    occ = occurrences(docs, registry.active(), ["id"]).withColumn("file_ord", F.col("id")).withColumn("rel", F.expr("'f' || id % 3"))
+    entries = written(_number(spark, occ), "entries")
+    return docs.drop("spans"), occ, entries
+
+
+_TEXT = "case when logs.cat in ('', 'phone') then txt else pre || {new} || substr(txt, length(pre) + length(val) + 1) end"
+_JOIN = f" from logs left join named on named.cat = logs.cat and named.k = case when logs.cat in ({FOLDED}) then lower(logs.val) else logs.val end"
+
+
+@query(CTES + f"select id, {_TEXT.format(new='alias')} text, case when logs.cat in ('', 'phone') then 0::bigint else 1::bigint end replacements {_JOIN}")
+def tokenize_text(spark, sf_dir):
+    docs, occ, entries = _masked(spark, sf_dir)
+    return rewrite.pseudonymise(docs, occ, entries, ["id"]).select("id", "text", "replacements")
+
+
+@query(CTES + "select alias, n, k as folded, cat category from named")
+def alias_numbering(spark, sf_dir):
+    return _masked(spark, sf_dir)[2].select("alias", "n", F.element_at(F.split("ckey", "\0"), 3).alias("folded"), "category")
+
+
+@query(CTES + "select alias, original from named")
+def alias_first_seen(spark, sf_dir):
+    return _masked(spark, sf_dir)[2].select("alias", "original")
+
+
+@query(CTES + "select alias, cnt from named")
+def alias_counts(spark, sf_dir):
+    return _masked(spark, sf_dir)[2].select("alias", F.col("count").alias("cnt"))
+
+
+@query(CTES + ", w as (select al.alias, 'f' || occ.id % 3 rel, min(occ.id) met from occ join al on al.cat = occ.cat and al.k = occ.k group by 1, 2) select alias, string_agg(rel, ',' order by met) files from w group by alias")
+def alias_files(spark, sf_dir):
+    return _masked(spark, sf_dir)[2].select("alias", F.array_join("files", ",").alias("files"))
+
+
+@query(CTES + "select cat category, count(*) unique_values, cast(sum(cnt) as bigint) occurrences from named group by cat")
+def category_summary(spark, sf_dir):
+    return aliases.categories(_masked(spark, sf_dir)[2])
+
+
+@query(CTES + "select prefix counter, max(n) top from named group by prefix")
+def counter_tops(spark, sf_dir):
+    return aliases.counters(_masked(spark, sf_dir)[2])
+
+
+@query(f"with logs as ({LOGS}) select id % 3 grp, cast(sum(case when cat in ('', 'phone') then 0 else 1 end) as bigint) replacements from logs group by 1")
+def per_doc_replacements(spark, sf_dir):
+    docs, occ, entries = _masked(spark, sf_dir)
+    return rewrite.pseudonymise(docs, occ, entries, ["id"]).groupBy((F.col("id") % 3).alias("grp")).agg(F.sum("replacements").alias("replacements"))
+
+
+@query(CTES + f"select id, {_TEXT.format(new='original')} text {_JOIN}")
+def reverse_roundtrip(spark, sf_dir):
+    docs, occ, entries = _masked(spark, sf_dir)
+    masked = written(rewrite.pseudonymise(docs, occ, entries, ["id"]).drop("replacements"), "masked")
+    return rewrite.reverse(masked, entries, ["id"]).select("id", "text")
+
+
+@query("select cast(0 as bigint) leaks, true clean")
+def verify_clean_flag(spark, sf_dir):
+    docs, occ, entries = _masked(spark, sf_dir)
+    masked = rewrite.pseudonymise(docs, occ, entries, ["id"]).selectExpr("'x' rel", "text")
+    return audit.leaks(masked, registry.active()).agg(F.count("*").alias("leaks"), (F.count("*") == 0).alias("clean"))
+
+
+@query(f"with logs as ({LOGS}) select 'f' || id file, cat category, cast(1 as bigint) line from logs where cat not in ('', 'phone')")
+def verify_leaks(spark, sf_dir):
+    return audit.leaks(logs(spark, sf_dir).selectExpr("'f' || id rel", "text"), registry.active()).select("file", "category", "line")
+
+
+@query("select o_orderkey id, cast(1 + o_orderkey % 5 as bigint) line from orders")
+def leak_line_numbers(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", "repeat('x' || chr(10), cast(o_orderkey % 5 as int)) || 'oops raw 192.168.1.50 here' text")
+    hit = with_spans(rows, registry.active()).select("id", "text", F.explode("spans").alias("x"))
+    return hit.select("id", line_number(F.col("text"), F.col("x.s")).alias("line"))
+
+
+@query(CTES + ", r as (select named.*, named.first_id % 2 half from named) select alias, cnt, n from r")
+def vault_second_run(spark, sf_dir):
+    """Two runs with one dictionary give the aliases of one; the first has the smaller half of the lines."""
+    docs = written(with_spans(logs(spark, sf_dir), registry.active()), "spans")
+    occ = written(occurrences(docs, registry.active(), ["id"]).withColumn("file_ord", F.col("id")).withColumn("rel", F.lit("x")), "occ")
+    middle = F.lit(occ.agg(F.percentile_approx("id", 0.5)).first()[0])
+    first = written(_number(spark, occ.where(F.col("id") <= middle)), "first")
+    return aliases.assign(occ.where(F.col("id") > middle), first, aliases.empty_entities(spark)).select("alias", F.col("count").alias("cnt"), "n")
+
+
+# --- entities --------------------------------------------------------------
+
+_ROWS = [
+    {"id": "core-a", "type": "device", "pretty_name": "Core A", "identifiers": ["10.0.0.5", "SRV-AB12"], "notes": ""},
+    {"id": "jd", "type": "person", "pretty_name": "J. D.", "identifiers": ["jane@example.com"], "notes": "n"},
+    {"id": "core-b", "type": "device", "pretty_name": "Core B", "identifiers": ["10.0.0.6"], "notes": ""},
+    {"id": "q", "type": "Printer 3", "pretty_name": "", "identifiers": ["fe80::1"], "notes": ""},
+    {"id": "z", "type": "3", "pretty_name": "", "identifiers": ["x.example.com"], "notes": ""},
+]
+
+
+def _entities(spark, texts):
+    """A first run without the table, then the table, then a second run."""
+    docs = fixed(spark, *texts)
+    occ = found(docs).withColumn("file_ord", F.col("id")).withColumn("rel", F.lit("a.log"))
+    first = written(_number(spark, occ), "first")
+    ents = written(aliases.register_entities(spark, _ROWS, aliases.empty_entities(spark)), "entities")
+    ids = [(v, *registry.classify(v), r["id"]) for r in _ROWS for v in r["identifiers"]]
+    ids = spark.createDataFrame([(*x, i) for i, x in enumerate(ids)], "value string, category string, prefix string, entity_id string, ord long")
+    linked = written(aliases.link_entities(ids, first, ents), "linked")
+    dets = registry.active() + registry.for_entities(_ROWS)
+    occ = found(docs, dets).withColumn("file_ord", F.col("id")).withColumn("rel", F.lit("b.log"))
+    return docs, occ, written(aliases.assign(occ, linked, ents), "after"), ents
+
+
+_SEEN = ("user jane@example.com from 10.0.0.5", "srv-ab12 and 10.0.0.9 and 10.0.0.6")
+
+
+@query(values("entity_id string, label string", ("core-a", "DEV0001"), ("jd", "USR0001"), ("core-b", "DEV0002"), ("q", "PRIN0001"), ("z", "ENT0001")))
+def entity_labels(spark, sf_dir):
+    return _entities(spark, _SEEN)[3].select("entity_id", "label")
+
+
+@query(values("alias string, original string, cnt long", ("<DEV0001.IP_1>", "10.0.0.5", 1), ("<DEV0001.HOST_1>", "SRV-AB12", 1), ("<USR0001.EMAIL_1>", "jane@example.com", 1), ("<DEV0002.IP_1>", "10.0.0.6", 1), ("<PRIN0001.HOST_1>", "fe80::1", 0), ("<ENT0001.HOST_1>", "x.example.com", 0)))
+def entity_aliases(spark, sf_dir):
+    return _entities(spark, _SEEN)[2].where("entity_id is not null").select("alias", "original", F.col("count").alias("cnt"))
+
+
+@query(values("id long, text string", (0, "user <USR0001.EMAIL_1> from <DEV0001.IP_1>"), (1, "<DEV0001.HOST_1> and <IP_2> and <DEV0002.IP_1>")))
+def entity_tokenize(spark, sf_dir):
+    docs, occ, after, _ = _entities(spark, _SEEN)
+    return rewrite.pseudonymise(docs, occ, after, ["id"]).select("id", "text")
+
+
+@query(values("alias string, superseded_by string", ("<IP_1>", "<DEV0001.IP_1>"), ("<EMAIL_1>", "<USR0001.EMAIL_1>"), ("<IP_3>", "<DEV0002.IP_1>")))
+def supersession(spark, sf_dir):
+    return _entities(spark, _SEEN)[2].where("superseded_by is not null").select("alias", "superseded_by")
+
+
+@query(values("label string, aliases string, superseded string", ("DEV0001", "<DEV0001.HOST_1>,<DEV0001.IP_1>", "<IP_1>"), ("USR0001", "<USR0001.EMAIL_1>", "<EMAIL_1>"), ("DEV0002", "<DEV0002.IP_1>", "<IP_3>"), ("PRIN0001", "<PRIN0001.HOST_1>", ""), ("ENT0001", "<ENT0001.HOST_1>", "")))
+def legend(spark, sf_dir):
+    got = aliases.legend(*_entities(spark, _SEEN)[2:])
+    return got.select("label", F.array_join("aliases", ",").alias("aliases"), F.array_join("superseded_aliases", ",").alias("superseded"))
+
+
+@query(values("value string, category string, prefix string", ("10.0.0.5", "ipv4", "IP"), ("2001:db8:0:0:0:0:0:1", "ipv6", "IPV6"), ("de:ad:be:ef:00:11", "mac", "MAC"), ("a@b.org", "email", "EMAIL"), ("http://x.y/z", "url", "URL"), ("www.x.org", "fqdn", "HOST"), ("fe80::1", "host", "HOST"), ("SRV-AB12", "host", "HOST"), ("123e4567-e89b-12d3-a456-000000000001", "uuid", "UUID")))
+def classify_identifier(spark, sf_dir):
+    given = ("10.0.0.5", "2001:db8:0:0:0:0:0:1", "de:ad:be:ef:00:11", "a@b.org", "http://x.y/z", "www.x.org", "fe80::1", "SRV-AB12", "123e4567-e89b-12d3-a456-000000000001")
+    return spark.createDataFrame([(v, *registry.classify(v)) for v in given], "value string, category string, prefix string")
+
+
+@query(CTES + "select distinct original from named where cat in ('ipv4', 'ipv6', 'mac', 'email', 'fqdn', 'host')")
+def starter_entities(spark, sf_dir):
+    return aliases.starter_rows(_masked(spark, sf_dir)[2])
+
+
+# --- supersession chains ---------------------------------------------------
+
+def _pointers(spark, *pairs):
+    rows = [(a, b) for a, b in pairs]
+    return spark.createDataFrame(rows, "alias string, superseded_by string")
+
+
+@query(values("alias string, terminal string", ("<A_1>", "<A_3>"), ("<A_2>", "<A_3>"), ("<B_1>", "<GONE_1>"), ("<T_1>", "<C_1>"), ("<X_1>", "<X_2>")))
+def canonical_closure(spark, sf_dir):
+    p = _pointers(spark, ("<A_1>", "<A_2>"), ("<A_2>", "<A_3>"), ("<A_3>", None), ("<B_1>", "<GONE_1>"), ("<C_1>", "<C_2>"), ("<C_2>", "<C_1>"), ("<T_1>", "<C_1>"), ("<X_1>", "<X_2>"), ("<X_2>", None), ("<S_1>", "<S_1>"))
+    return rewrite.canonical(p)
+
+
+@query("select o_orderkey id, 'a <IP_' || (1 + o_orderkey % 10 * 0 + 9) || '> b <DEV0001.IP_1> c <IP_' || (o_orderkey % 7 + 11) || '>' text, cast(1 as bigint) replacements from orders")
+def reconcile_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey id", "'a <IP_10> b <IP_1> c <IP_' || (o_orderkey % 7 + 11) || '>' text")
+    closure = rewrite.canonical(_pointers(spark, ("<IP_1>", "<DEV0001.IP_1>"), ("<DEV0001.IP_1>", None)))
+    return rewrite.reconcile(rows, written(closure, "closure"), ["id"]).select("id", "text", "replacements")
+
+
+# --- files, custody, reports -----------------------------------------------
+
+@query("select cast(doc_id as varchar) file, sha256(text) source_sha256 from documents")
+def manifest_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"))
+
+
+@query("select sha256(string_agg(f || chr(0) || sha256(text) || chr(0) || sha256(upper(f)) || chr(0), '' order by f)) run_digest, count(*) file_count from (select 'd' || doc_id f, text from documents)")
+def run_digest(spark, sf_dir):
+    f = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").select(f.alias("file"), F.sha2(F.col("text").cast("binary"), 256).alias("source_sha256"), F.sha2(F.upper(f).cast("binary"), 256).alias("output_sha256"))
+    return custody.run_digest(rows)
+
+
+_PATHS = ("a.log", "b.txt", "d/e.log", "d/.hidden.log", "_under.log", "x/keep.csv", "x/skip.log")
+
+
+@query(values("rel string", ("a.log",), ("d/e.log",), ("d/.hidden.log",), ("_under.log",)))
+def glob_filter(spark, sf_dir):
+    df = spark.createDataFrame([(p,) for p in _PATHS], "rel string")
+    return df.where(filetree.included(F.col("rel"), ["*.log"], ["x/*"]))
+
+
+@query(values("rel string, ord long", ("a/b", 1), ("a/c.txt", 2), ("a.txt", 3), ("b", 4)))
+def file_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([("b",), ("a.txt",), ("a/c.txt",), ("a/b",)], "rel string")
+    return df.select("rel", F.row_number().over(Window.orderBy(filetree.file_order(F.col("rel")))).cast("long").alias("ord"))
+
+
+@query(values("rel string, status string", ("a.log", None), ("big.log", "oversize"), ("p.PNG", "binary"), ("c.pcap", "binary"), (".png", None), ("d.tar/x", None)))
+def status_gate(spark, sf_dir):
+    df = spark.createDataFrame([("a.log", 5), ("big.log", 500), ("p.PNG", 5), ("c.pcap", 5), (".png", 5), ("d.tar/x", 5)], "rel string, size long")
+    return df.select("rel", filetree.status_gate(F.col("rel"), F.col("size"), 100).alias("status"))
+
+
+@query(values("id long, status string, encoding string", (0, "processed", "utf-8"), (1, "processed", "utf-8-sig"), (2, "processed", "utf-16"), (3, "processed", "cp1252"), (4, "binary", None), (5, "undecodable", None), (6, "undecodable", None), (7, "processed", "utf-32")))
+def decode_encodings(spark, sf_dir):
+    raw = ["plain é".encode(), "bom".encode("utf-8-sig"), "sixteen".encode("utf-16"), b"caf\xe9", b"a\0b", b"bad \x81", b"\xef\xbb\xbf\xff", "x".encode("utf-32")]
+    rows = []
+    for i, b in enumerate(raw):
+        got = filetree.decode(b)
+        rows.append((i, "processed" if got else "binary" if b"\0" in b[:4096] else "undecodable", got[1] if got else None))
+    return spark.createDataFrame(rows, "id long, status string, encoding string")
+
+
+@query(f"with logs as ({LOGS}) select count(*) files_total, count(*) filter (where id % 5 <> 0) files_processed, count(*) filter (where id % 5 = 0) files_copied, cast(sum(case when id % 5 <> 0 then id % 3 else 0 end) as bigint) replacements, cast(sum(id) as bigint) bytes_total from logs")
+def run_totals(spark, sf_dir):
+    stats = logs(spark, sf_dir).selectExpr("case when id % 5 = 0 then 'binary' else 'processed' end status", "id % 3 replacements", "id size")
+    return report.totals(stats)
+
+
+@query(values("file string", ("decode.json",), ("x/report.html",)))
+def stray_sidecars(spark, sf_dir):
+    return audit.stray(spark.createDataFrame([("decode.json",), ("x/report.html",), ("x/my_report.html",), ("a.log",)], "rel string"))
+
+
+# --- model pass --------------------------------------------------------------
+
+@query(values("id long, n long, first string", (0, 2, "Jane Roe"), (1, 0, None), (2, 1, "x y z")))
+def llm_candidate_parse(spark, sf_dir):
+    got = flagging.parse_column(F.col("text"))
+    return fixed(spark, "Jane Roe\n\n none \nACME\nJane Roe", "NONE", "  x y z  \r\nnone").select("id", F.size(got).cast("long").alias("n"), F.get(got, F.lit(0)).alias("first"))
+
+
+@query("select o_orderkey id, 'met <LLM_1> at <IP_1> of <LLM_1> today' text from orders")
+def llm_apply(spark, sf_dir):
+    docs = table(spark, sf_dir, "orders").selectExpr("'f' || o_orderkey rel", "o_orderkey file_ord", "'met Jane Roe at <IP_1> of Jane Roe today' text", "0L replacements")
+
+    def client(url, headers, body, timeout):
+        return {"message": {"content": "Jane Roe\nIP_1\n<IP_1>\nab\nJane"}}
+
+    flagged = written(flagging.flag(docs, flagging.Provider(), client), "flagged")
+    entries = written(_number(spark, flagging.occurrences(flagged)), "entries")
+    return flagging.replace_flagged(docs, flagged, entries).select(F.col("file_ord").alias("id"), "text")
+
+
+@query(values("alias string, is_alias boolean", ("<IP_1>", True), ("<DEV0001.IP_12>", True), ("<PRIVATE_KEY_1>", True), ("IP_1", False), ("<ip_1>", False), ("<IP_1> ", False)))
+def alias_predicate(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("<IP_1>", "<DEV0001.IP_12>", "<PRIVATE_KEY_1>", "IP_1", "<ip_1>", "<IP_1> ")], "alias string")
+    return rows.select("alias", aliases.is_alias(F.col("alias")).alias("is_alias"))
+
+
+# --- streaming -----------------------------------------------------------------
+
+@query()
+def stream_vault_batches(spark, sf_dir):
+    """Documents as a stream into one dictionary; the dictionary after the last batch."""
+    import uuid
+
+    from ..operators.scratch import shared_dir
+    from ..streaming.incremental import Sink, run_available
+
+    src = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(src).schema
+    sink = Sink(spark, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", registry.active())
+    # a pattern, as a stream's path itself must be a folder
+    run_available(spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]"), sink)
+    return sink.dictionary().select("alias", "category", "count")

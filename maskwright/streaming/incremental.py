@@ -20,15 +20,18 @@ class Sink:
     def __init__(self, spark: SparkSession, root: str, detectors, key: str = "doc_id", allow=frozenset()):
         self.spark, self.root, self.detectors, self.key, self.allow = spark, root.rstrip("/"), detectors, key, allow
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-    def dictionary(self, before: int) -> DataFrame:
-        """Entries as the last batch under ``before`` left them."""
-        for n in range(before - 1, -1, -1):
-            if self._exists(f"{self.root}/entries/batch={n}"):
-                return self.spark.read.schema(aliases.ENTRIES).parquet(f"{self.root}/entries/batch={n}")
+    def _batches(self) -> list[int]:
+        """Numbers of the batches whose dictionary is whole, in order."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        p = hadoop.Path(f"{self.root}/entries/*/_SUCCESS")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or ())
+
+    def dictionary(self, before: int | None = None) -> DataFrame:
+        """Entries as the last batch under ``before``, or the last of all, left them."""
+        done = [n for n in self._batches() if before is None or n < before]
+        if done:
+            return self.spark.read.schema(aliases.ENTRIES).parquet(f"{self.root}/entries/batch={done[-1]}")
         return aliases.empty_entries(self.spark)
 
     def __call__(self, batch: DataFrame, n: int) -> None:
