@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 # the six ASCII white-space characters only.
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MULT_B = np.uint64(0xD6E8FEB86659FD93)
-PARQUET_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Texts differ in length a thousandfold: Arrow batches of few rows bound what JVM and Python worker hold at once."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive executors."""
 
@@ -96,14 +104,3 @@ def gram_hashes(h: np.ndarray, k: int, base: np.uint64 = MULT) -> np.ndarray:
             acc += h[j : j + n] * p
             p = p * base
     return mix(acc)
-
-
-def spread(df: DataFrame, cost_bytes: int = 0) -> DataFrame:
-    """One-row-group files leave one busy task; deal such input to all cores.
-
-    The shuffle is only taken where the scan has fewer partitions than cores.
-    """
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import MULT, MULT_B, Scratch, gram_hashes, mix, powers, small_side, word_hashes
+from ._common import MULT, MULT_B, Scratch, gram_hashes, mix, powers, small_batches, small_side, word_hashes
 
 WINDOW, RUN_WORDS, MAX_RUNS, BROADCAST_ROWS = 50, 10, 4, 1_000_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -118,7 +118,7 @@ class FingerprintIndex:
         """Judge a batch against history and itself, add it to the index, and return its results."""
         self.n += 1
         n, s = self.n, self.scratch
-        docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+        docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
         rows = s.save(_base_rows(docs), f"rows-{n}")
         copies = rows.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("dg").agg(F.min("doc_id").alias("first_id"), F.any_value("prints").alias("prints"))
         self._add_run(copies.select("dg", "first_id", F.explode("prints").alias("print")))

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small_side
+from ._common import Scratch, small_batches, small_side
 
 LEAST_PAGES, LEAST_SHARE, LEAST_CLASS, BROADCAST_ROWS = 4, 0.5, 2, 20_000
 
@@ -184,7 +184,7 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text and its code points."""
     scratch = Scratch(pages.sparkSession, "html")
-    pages = pages.selectExpr("cast(page_id as long) page_id", "url", "html")
+    pages = small_batches(pages).selectExpr("cast(page_id as long) page_id", "url", "html")
     templates = deduce_templates(pages, scratch)
     scratch.drop("tokens")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -33,7 +33,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small_side
+from ._common import Scratch, small_batches, small_side
 
 LEAST_SHARED, BLOCK_LINES, LEVEL, BROADCAST_ROWS = 100, 1000, 3, 1_000_000
 DATE = "2024-01-01T00:00:00Z"
@@ -100,7 +100,7 @@ class CaptureArchive:
 
     def write(self, pages: DataFrame) -> CaptureArchive:
         s, root = self.scratch, self.scratch.root
-        rows = pages.selectExpr("cast(page_id as long) page_id", "url", "coalesce(html, '') html")
+        rows = small_batches(pages).selectExpr("cast(page_id as long) page_id", "url", "coalesce(html, '') html")
         rows = rows.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
         alike = rows.where(F.octet_length("html") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
         alike = s.save(alike.where("n > 1 and first_page is not null").select(F.col("digest").alias("d"), "first_page"), "alike")

@@ -13,10 +13,10 @@ time limit that leaves no component empty; it is doubled where one is.
 Bands of the signature give candidate buckets. Equal texts are one node. Each
 node is paired with its buckets' leaders, first with the one it shares most
 bands with; every pair is verified by the exact overlap of both bags. Pairs whose
-ends are already in one component are skipped, others are verified in further
-rounds, in which a member of each component that a bucket still holds, another one
-each time, is paired with one of a leading component, until two rounds in a row
-bring no link. Components come from min-label propagation with pointer jumps.
+ends are already in one component are skipped. Then the members of different
+components in each bucket of up to ``SMALL`` nodes are verified with each other, and
+in larger buckets each node with its other leaders; last come rounds in which a member of each component that a bucket still holds, another one
+each time, is paired with one of a leading component, until a round brings no link. Components come from min-label propagation with pointer jumps.
 
 Defined cases: null and empty texts are equal to each other and join nothing
 else; texts of one to four words are one shingle of all their words; a null doc_id
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, gram_hashes, mix, small_side, word_hashes
+from ._common import Scratch, gram_hashes, mix, small_batches, small_side, word_hashes
 
 SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 0.8, 24, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, SMALL = 1_000_000, 64
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     """Per row: doc_id, class_id (the smallest doc_id of its class) and whether the row's text stays."""
     spark = docs.sparkSession
     s = Scratch(spark, "bagminhash")
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
     signed = s.save(_signatures(docs, bands, rows), "signed")
     nodes = s.save(signed.groupBy("dg").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.select("dg", F.explode("bands").alias("key"))
@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     edges = verified(best, "edges-0")
     labels = components(s, edges, "c0")
     tried = s.save(best, "tried-0")
-    i = idle = 0
-    while idle < 2:  # two rounds in a row without a new link
+    i, linked = 0, True
+    while linked:
         i += 1
         comp = labels.select(F.col("node").alias("cn"), "label")
         member = s.save(buckets.join(comp, F.col("dg") == F.col("cn"), "left").select("key", "dg", "head", F.coalesce("label", "dg").alias("label")), f"member-{i}")
@@ -210,10 +210,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
         lead = s.save(lead.select(F.col("key").alias("lk"), "lead", "ll"), f"lead-{i}")
         cross = pick.join(lead, (F.col("key") == F.col("lk")) & (F.col("label") != F.col("ll"))).select(F.least("dg", "lead").alias("a"), F.greatest("dg", "lead").alias("b"))
         if i == 1:
-            # every leader of a node that is in another component
+            # in small buckets all members of different components, in others a node's leaders
+            sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(f"l0 <> l1 and n <= {SMALL}")
+            few = s.save(sizes.select(F.col("key").alias("fk")), "few")
+            held = s.save(member.join(few, F.col("key") == F.col("fk")).select("key", "dg", "label"), "held")
+            other = held.select(F.col("key").alias("ok"), F.col("dg").alias("od"), F.col("label").alias("ol"))
+            within = held.join(other, (F.col("key") == F.col("ok")) & (F.col("dg") < F.col("od")) & (F.col("label") != F.col("ol")))
             mine = member.where("dg <> head").select("dg", "head", "label").distinct()
             mine = mine.join(comp.withColumnRenamed("label", "hl"), F.col("head") == F.col("cn"), "left").where("label <> coalesce(hl, head)").select(F.least("dg", "head").alias("a"), F.greatest("dg", "head").alias("b"))
-            cross = cross.union(mine)
+            cross = cross.union(mine).union(within.select(F.col("dg").alias("a"), F.col("od").alias("b")))
         done = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
         fresh = s.save(cross.distinct().join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), f"fresh-{i}")
         s.drop(f"member-{i}", f"pick-{i}", f"lead-{i}")
@@ -221,9 +226,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
             break
         more = verified(fresh, f"edges-{i}")
         tried = s.save(tried.union(fresh), f"tried-{i}")
-        idle += 1
-        if not more.isEmpty():
-            idle = 0
+        linked = not more.isEmpty()
+        if linked:
             edges = edges.union(more)
             labels = components(s, edges, f"c{i}")
     s.drop("texts", "buckets", "pairs", "needed")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import small_batches
+
 # A-Z become small, what is not a word character becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -137,7 +139,7 @@ class Index:
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    n_docs, df = frequencies(docs)
+    n_docs, df = frequencies(small_batches(docs))
 
     def run(batches):
         index = Index(n_docs, df)

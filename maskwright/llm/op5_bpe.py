@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ._common import small_batches
+
 END, MARK = "</w>", "\ue000"
 CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -186,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<long>, decoded string" * with_ids)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<long>, decoded string" * with_ids)
 
 
 def vocabulary_path() -> str:

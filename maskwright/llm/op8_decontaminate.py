@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import Scratch, small_side
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, SET_LIMIT = 10, 100_000
+WINDOW, SET_LIMIT, BROADCAST_ROWS = 10, 100_000, 500_000
 
 
 def words_of(col: str):
@@ -82,28 +84,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_li
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
     """Pipeline form: the documents without any verified window, columns unchanged.
 
-    While the set fits, the test is made inside each row (set, then words), so no
-    text is shuffled; beyond its limit the hit documents' keys are joined away.
+    Texts with a window are known by digest; that table is written, and joined
+    away without moving texts while it is small.
     """
-    grams = grams_of(benchmark, n)
-    keys = grams.select("h", "len", "gram").distinct().limit(set_limit + 1).collect()
     names = docs.columns
-    if not keys:
-        return docs
-    if len(keys) > set_limit:
-        key = F.xxhash64(F.coalesce("text", F.lit("")))
-        bad = hits(docs.select(key.alias("doc_id"), "text"), benchmark, n, set_limit).where("items is not null").select(F.col("doc_id").alias("bad")).distinct()
-        return docs.withColumn("_key", key).join(bad, F.col("_key") == F.col("bad"), "left_anti").select(*names)
-    rows = docs.withColumn("_w", words_of("text")).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    dirty = F.lit(False)
-    for ln in sorted({r["len"] for r in keys}):
-        inside = ",".join("'" + r["gram"] + "'" for r in keys if r["len"] == ln)
-        hashes = ",".join(f"{r['h']}L" for r in keys if r["len"] == ln)
-        dirty = dirty | F.expr(
-            f"size(_h) >= {ln} and exists(sequence(0, greatest(size(_h) - {ln}, 0)), i -> xxhash64(slice(_h, i + 1, {ln})) in ({hashes})"
-            f" and array_join(slice(_w, i + 1, {ln}), ' ') in ({inside}))"
-        )
-    return rows.where(~dirty).select(*names)
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    found = hits(docs.select(digest.alias("doc_id"), "text"), benchmark, n, set_limit).where("items is not null")
+    bad = Scratch(docs.sparkSession, "decontaminate").save(found.select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    return docs.withColumn("_digest", digest).join(small_side(bad, BROADCAST_ROWS), F.col("_digest") == F.col("_bad"), "left_anti").select(*names)
 
 
 def op8_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

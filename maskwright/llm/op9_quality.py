@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ._common import small_batches
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # Line-level boilerplate, matched without regard to case.
@@ -118,7 +120,7 @@ def quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
             keep = len(names) if with_text else len(names) - 1
             yield pa.RecordBatch.from_arrays(arrays[:keep], names[:keep])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", clean_text string" * with_text)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", clean_text string" * with_text)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def clean(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array([len(x[9]) for x in out], pa.int64()).cast(b.column(chars).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(mask)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
