@@ -57,7 +57,7 @@ def bag_minhash(elements: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
         units, rates, lows, weights = [mix(elements + np.uint64(1))], [np.ones(len(elements))], [np.zeros(len(elements), np.int64)], [counts]
         size, rest = 1, np.flatnonzero(counts > 1)
         while len(rest):
-            units.append(mix(elements[rest] + np.uint64(1) + GOLD * np.uint64(size)))
+            units.append(mix(mix(elements[rest] + np.uint64(1)) + GOLD * np.uint64(size)))
             rates.append(np.full(len(rest), float(size)))
             lows.append(np.full(len(rest), size, np.int64))
             weights.append(counts[rest])
