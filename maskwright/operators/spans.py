@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.pyspans import candidates as python_candidates
 from ..functions.registry import VERSION_REACH, VERSION_TAIL, Detector
@@ -20,7 +21,7 @@ NONE = f"cast(array() as array<{SPAN}>)"
 FOLDED = "struct<s:int,e:int,value:string,key:string,category:string,prefix:string,entity_id:string,ckey:string>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(values):
     return values.map(lambda v: None if v is None else v.casefold())
 
@@ -103,19 +104,19 @@ def with_spans(df: DataFrame, detectors: list[Detector], text: str = "text", all
     found = F.col("_found")
     if allow:
         known = F.array(*(F.lit(a) for a in sorted(allow)))
-        # values with other letters than ASCII are folded in Python, once for each row
-        if all(a.isascii() for a in allow):
-            found = F.filter(found, lambda c: ~F.array_contains(known, F.lower(c["value"])))
-        else:
-            found = _allow_udf(allow)(found)
-    rows = rows.withColumn("_found", found)
+        # values with other letters than ASCII are folded in Python; rows without any send it nothing
+        odd = F.exists(found, lambda c: c["value"].rlike(r"[^\x00-\x7F]"))
+        plain = F.filter(found, lambda c: ~F.array_contains(known, F.lower(c["value"])))
+        rows = rows.withColumn("_odd", _allow_udf(allow)(F.when(odd, found)))
+        found = F.coalesce("_odd", plain)
+    rows = rows.withColumn("_found", found).drop("_odd")
     return rows.withColumn(out, F.when(F.size("_found") < 2, F.col("_found")).otherwise(_claim(F.col("_found")))).drop("_found")
 
 
 def _allow_udf(allow: frozenset[str]):
     @F.udf(f"array<{SPAN}>")
     def left(found):
-        return [c for c in found if c["value"].casefold() not in allow]
+        return None if found is None else [c for c in found if c["value"].casefold() not in allow]
 
     return left
 
