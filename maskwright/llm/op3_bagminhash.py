@@ -15,8 +15,13 @@ node is paired with its buckets' leaders, first with the one it shares most
 bands with; every pair is verified by the exact overlap of both bags. Pairs whose
 ends are already in one component are skipped. Then the members of different
 components in each bucket of up to ``SMALL`` nodes are verified with each other, and
-in larger buckets each node with its other leaders; last come rounds in which a member of each component that a bucket still holds, another one
-each time, is paired with one of a leading component, until a round brings no link. Components come from min-label propagation with pointer jumps.
+in larger buckets each node with its other leaders. Larger buckets that still hold
+several components are gone through whole, in tiles: the members outside a bucket's
+largest component against all its members, in blocks of about ``BLOCK``, by one
+index of shingles a tile, which hands on no more links than join its components. So
+every pair that shares a bucket is in one component or has been compared. Components
+come from min-label propagation with pointer jumps; later links only label the
+joined components anew.
 
 Defined cases: null and empty texts are equal to each other and join nothing
 else; texts of one to four words are one shingle of all their words; a null doc_id
@@ -39,6 +44,7 @@ from ._common import Scratch, gram_hashes, mix, small_batches, small_side, word_
 SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 0.8, 24, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BROADCAST_ROWS, SMALL = 1_000_000, 64
+BLOCK, FILE_ROWS, VERIFY_ROWS = 512, 50_000, 2_000  # texts of a block; rows of a file and pairs of a task, where their number is known
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -150,19 +156,71 @@ def _verify(threshold: float):
     return run
 
 
+def tile_links(ids: list, labels: list, texts: list, asks: list, threshold: float) -> list[tuple]:
+    """Similar pairs (asking, other) of one tile, as far as they join different labels."""
+    if not any(asks):
+        return []
+    bags = [bag_hashes(_words(x)) for x in texts]
+    totals = np.array([int(c.sum()) for _, c in bags])
+    own = np.flatnonzero(np.array(asks, bool))
+    token = np.concatenate([bags[i][0] for i in own])
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    slot = np.repeat(np.arange(len(own)), [len(bags[i][0]) for i in own])[order]
+    count = np.concatenate([bags[i][1] for i in own])[order]
+    root = {x: x for x in labels}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    found = []
+    for j, (h, c) in enumerate(bags):
+        if asks[j]:
+            continue
+        same = np.zeros(len(own), np.int64)
+        for k in range(0, len(h), 4096):
+            lo, hi = np.searchsorted(token, h[k : k + 4096], "left"), np.searchsorted(token, h[k : k + 4096], "right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            same += np.bincount(slot[at], np.minimum(count[at], np.repeat(c[k : k + 4096], n)), len(own)).astype(np.int64)
+        for x in np.flatnonzero(same >= (threshold - 1e-9) * (totals[own] + totals[j] - same)):
+            i = own[x]
+            one, two = top(labels[i]), top(labels[j])
+            if one != two:
+                root[one] = two
+                found.append((ids[i], ids[j]))
+    return found
+
+
+def _tile(threshold: float):
+    def run(table):
+        found = tile_links(*(table.column(c).to_pylist() for c in ("dg", "label", "text", "asks")), threshold)
+        return pa.table([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
-    """(node, label): the smallest node of each component. Rounds grow with the logarithm of its width."""
-    both = scratch.save(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), f"{tag}-both")
-    labels = scratch.save(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"), f"{tag}-0")
+    """(node, label): the smallest node of each component. Rounds grow with the logarithm of its width.
+
+    ``edges`` must be a written table; its row count bounds every table here, and so decides on files and broadcasts.
+    """
+    n = 2 * edges.count()
+    files = 1 + n // FILE_ROWS
+    both = scratch.save(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct().coalesce(files), f"{tag}-both")
+    labels = scratch.save(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label").coalesce(files), f"{tag}-0")
+    small = F.broadcast if n <= BROADCAST_ROWS else lambda df: df
     i = 0
     while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
-        near = scratch.save(near, f"{tag}-near-{i}")
-        step = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("low"))
-        step = scratch.save(step, f"{tag}-step-{i}")
+        near = both.join(small(labels), F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("near"))
+        near = scratch.save(near.coalesce(files), f"{tag}-near-{i}")
+        step = labels.join(small(near), F.col("node") == F.col("x"), "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("low"))
+        step = scratch.save(step.coalesce(files), f"{tag}-step-{i}")
         jump = step.select(F.col("node").alias("at"), F.col("low").alias("further"))
-        after = step.join(jump, F.col("low") == F.col("at"), "left").select("node", "was", F.least("low", F.coalesce("further", "low")).alias("label"))
-        after = scratch.save(after, f"{tag}-{i + 1}")
+        after = step.join(small(jump), F.col("low") == F.col("at"), "left").select("node", "was", F.least("low", F.coalesce("further", "low")).alias("label"))
+        after = scratch.save(after.coalesce(files), f"{tag}-{i + 1}")
         done = after.where("was <> label").isEmpty()
         scratch.drop(f"{tag}-near-{i}", f"{tag}-step-{i}", f"{tag}-{i}")
         labels, i = after.select("node", "label"), i + 1
@@ -183,56 +241,72 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     s.drop("heads")
     pairs = s.save(buckets.where("dg <> head").groupBy("dg", "head").agg(F.count("*").alias("n")).select(F.col("dg").alias("a"), F.col("head").alias("b"), "n"), "pairs")
 
-    needed = small_side(s.save(buckets.select("dg").distinct().join(nodes.select(F.col("dg").alias("nd"), "first_id"), F.col("dg") == F.col("nd")).select("nd", "first_id"), "needed"), BROADCAST_ROWS)
+    needed = s.save(buckets.select("dg").distinct().join(nodes.select(F.col("dg").alias("nd"), "first_id"), F.col("dg") == F.col("nd")).select("nd", "first_id"), "needed")
     owned = docs.select("doc_id", "text", _digest().alias("dg"))
-    texts = owned.join(needed, (F.col("dg") == F.col("nd")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("dg", "text")
+    texts = owned.join(small_side(needed, BROADCAST_ROWS), (F.col("dg") == F.col("nd")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("dg", "text")
     texts = s.save(texts, "texts")
 
     def verified(some: DataFrame, tag: str) -> DataFrame:
-        left, right = texts.select(F.col("dg").alias("ld"), F.col("text").alias("lt")), texts.select(F.col("dg").alias("rd"), F.col("text").alias("rt"))
-        joined = some.select("a", "b").join(left, F.col("a") == F.col("ld")).join(right, F.col("b") == F.col("rd"))
-        return s.save(joined.select("a", "b", "lt", "rt").mapInArrow(_verify(threshold), "a binary, b binary, sim double").select("a", "b").distinct(), tag)
-
-    # round 0: the leader with which a node shares most bands; round 1: its other leaders
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    edges = verified(best, "edges-0")
-    labels = components(s, edges, "c0")
-    tried = s.save(best, "tried-0")
-    i, linked = 0, True
-    while linked:
-        i += 1
-        comp = labels.select(F.col("node").alias("cn"), "label")
-        member = s.save(buckets.join(comp, F.col("dg") == F.col("cn"), "left").select("key", "dg", "head", F.coalesce("label", "dg").alias("label")), f"member-{i}")
-        # of every component in a bucket one member, another each round, and the bucket's leading component's
-        pick = member.groupBy("key", "label").agg(F.min_by("dg", F.xxhash64("dg", F.lit(i))).alias("dg"), F.max("head").alias("head"))
-        pick = s.save(pick, f"pick-{i}")
-        lead = pick.groupBy("key").agg(F.min_by("dg", F.struct(F.xxhash64("label", F.lit(i)), "label")).alias("lead"), F.min_by("label", F.struct(F.xxhash64("label", F.lit(i)), "label")).alias("ll"), F.count("*").alias("parts")).where("parts > 1")
-        lead = s.save(lead.select(F.col("key").alias("lk"), "lead", "ll"), f"lead-{i}")
-        cross = pick.join(lead, (F.col("key") == F.col("lk")) & (F.col("label") != F.col("ll"))).select(F.least("dg", "lead").alias("a"), F.greatest("dg", "lead").alias("b"))
-        if i == 1:
-            # in small buckets all members of different components, in others a node's leaders
-            sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where(f"l0 <> l1 and n <= {SMALL}")
-            few = s.save(sizes.select(F.col("key").alias("fk")), "few")
-            held = s.save(member.join(few, F.col("key") == F.col("fk")).select("key", "dg", "label"), "held")
-            other = held.select(F.col("key").alias("ok"), F.col("dg").alias("od"), F.col("label").alias("ol"))
-            within = held.join(other, (F.col("key") == F.col("ok")) & (F.col("dg") < F.col("od")) & (F.col("label") != F.col("ol")))
-            mine = member.where("dg <> head").select("dg", "head", "label").distinct()
-            mine = mine.join(comp.withColumnRenamed("label", "hl"), F.col("head") == F.col("cn"), "left").where("label <> coalesce(hl, head)").select(F.least("dg", "head").alias("a"), F.greatest("dg", "head").alias("b"))
-            cross = cross.union(mine).union(within.select(F.col("dg").alias("a"), F.col("od").alias("b")))
-        done = tried.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
-        fresh = s.save(cross.distinct().join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), f"fresh-{i}")
-        s.drop(f"member-{i}", f"pick-{i}", f"lead-{i}")
-        if fresh.isEmpty():
-            break
-        more = verified(fresh, f"edges-{i}")
-        tried = s.save(tried.union(fresh), f"tried-{i}")
-        linked = not more.isEmpty()
-        if linked:
-            edges = edges.union(more)
-            labels = components(s, edges, f"c{i}")
-    s.drop("texts", "buckets", "pairs", "needed")
-
-    label = nodes.select("dg", "first_id").join(labels, F.col("dg") == F.col("node"), "left").select("dg", "first_id", F.coalesce("label", "dg").alias("label"))
+        """Of the pairs in a written table those that are similar; only the texts they name are dealt out."""
+        left = texts.join(small_side(some.select("a", "b"), BROADCAST_ROWS), F.col("dg") == F.col("a")).select("a", "b", F.col("text").alias("lt"))
+        right = texts.join(small_side(s.save(some.select(F.col("b").alias("rd")).distinct(), f"{tag}-right"), BROADCAST_ROWS), F.col("dg") == F.col("rd")).select("rd", F.col("text").alias("rt"))
+        joined = left.join(right, F.col("b") == F.col("rd"))
+        joined = joined.select("a", "b", "lt", "rt").coalesce(1 + some.count() // VERIFY_ROWS)
+        return s.save(joined.mapInArrow(_verify(threshold), "a binary, b binary, sim double").select("a", "b"), tag)
+
+    def merged(labels: DataFrame, links: DataFrame, tag: str) -> DataFrame:
+        """The labels after more links: only the components that a link joins are labelled anew, not their members."""
+        one, two = (labels.select(F.col("node").alias(f"{x}n"), F.col("label").alias(f"{x}l")) for x in "ab")
+        ends = links.join(one, F.col("a") == F.col("an")).join(two, F.col("b") == F.col("bn")).where("al <> bl")
+        ends = s.save(ends.select(F.least("al", "bl").alias("a"), F.greatest("al", "bl").alias("b")).distinct(), f"{tag}-ends")
+        moved = components(s, ends, tag).select(F.col("node").alias("old"), F.col("label").alias("new"))
+        return s.save(labels.join(small_side(moved, BROADCAST_ROWS), F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label")), f"{tag}-labels")
+
+    # first the leader with which a node shares most bands
+    first = s.save(pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), "first")
+    labels = merged(needed.select(F.col("nd").alias("node"), F.col("nd").alias("label")), verified(first, "links-0"), "c0")
+
+    def members(labels: DataFrame, of: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+        """Buckets with labels, and the sizes of those that hold several components."""
+        files = 1 + of.count() // FILE_ROWS
+        comp = small_side(labels.select(F.col("node").alias("cn"), "label"), BROADCAST_ROWS)
+        member = s.save(of.join(comp, F.col("dg") == F.col("cn")).select("key", "dg", "head", "label").coalesce(files), f"member-{tag}")
+        sizes = member.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+        return member, s.save(sizes.select(F.col("key").alias("fk"), "n").coalesce(files), f"sizes-{tag}")
+
+    # in small buckets all members of different components, in others a node's leaders
+    member, sizes = members(labels, buckets, "1")
+    few = small_side(s.save(sizes.where(f"n <= {SMALL}").select("fk"), "few"), BROADCAST_ROWS)
+    mixed = s.save(member.join(few, F.col("key") == F.col("fk")).select("key", "dg", "label"), "mixed")
+    other = mixed.select(F.col("key").alias("ok"), F.col("dg").alias("od"), F.col("label").alias("ol"))
+    within = mixed.join(other, (F.col("key") == F.col("ok")) & (F.col("dg") < F.col("od")) & (F.col("label") != F.col("ol"))).select(F.col("dg").alias("a"), F.col("od").alias("b"))
+    mine = member.where("dg <> head").select("dg", "head", "label").distinct()
+    mine = mine.join(labels.select(F.col("node").alias("cn"), F.col("label").alias("hl")), F.col("head") == F.col("cn")).where("label <> hl")
+    fresh = mine.select(F.least("dg", "head").alias("a"), F.greatest("dg", "head").alias("b")).union(within).distinct()
+    done = first.select(F.least("a", "b").alias("ta"), F.greatest("a", "b").alias("tb"))
+    fresh = s.save(fresh.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti"), "fresh")
+    labels = merged(labels, verified(fresh, "links-1"), "c1")
+
+    # in large buckets the members outside the largest component with all others
+    large = s.save(sizes.where(f"n > {SMALL}").select("fk"), "large")
+    left = s.save(member.join(small_side(large, BROADCAST_ROWS), F.col("key") == F.col("fk"), "left_semi").select("key", "dg", "head"), "left")
+    member, sizes = members(labels, left, "2")
+    parts = member.groupBy("key", "label").agg(F.count("*").alias("m"))
+    lead = parts.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("ll"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
+    blocks = lambda n: F.ceil(F.expr(n) / BLOCK).cast("int")
+    lead = s.save(lead.select(F.col("key").alias("lk"), "ll", blocks("all - most").alias("na"), blocks("all").alias("no")), "lead")
+    inside = member.join(small_side(lead, BROADCAST_ROWS), F.col("key") == F.col("lk")).select("key", "dg", "label", "ll", "na", "no", F.xxhash64("dg").alias("h"))
+    asking = inside.where("label <> ll").selectExpr("key", "dg", "label", "true asks", "pmod(h, na) x", "explode(sequence(0, no - 1)) y")
+    asked = inside.selectExpr("key", "dg", "label", "false asks", "explode(sequence(0, na - 1)) x", "pmod(h, no) y").select(asking.columns)
+    tiles = s.save(asking.withColumn("x", F.col("x").cast("int")).union(asked.withColumn("y", F.col("y").cast("int"))), "tiles")
+    whole = texts.select(F.col("dg").alias("td"), "text").join(small_side(s.save(tiles.select("dg").distinct().withColumnRenamed("dg", "sd"), "tiled"), BROADCAST_ROWS), F.col("td") == F.col("sd"), "left_semi")
+    near = tiles.join(whole, F.col("dg") == F.col("td")).select("key", "x", "y", "dg", "label", "asks", "text").groupBy("key", "x", "y").applyInArrow(_tile(threshold), "a binary, b binary")
+    near = s.save(near, "near")
+    near = s.save(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-distinct")
+    labels = merged(labels, verified(near, "links-2"), "c2")
+    s.drop("texts", "buckets", "pairs", "tiles", "near", "member-1", "member-2")
+
+    label = nodes.select("dg", "first_id").join(small_side(labels, BROADCAST_ROWS), F.col("dg") == F.col("node"), "left").select("dg", "first_id", F.coalesce("label", "dg").alias("label"))
     label = s.save(label, "label")
     least = s.save(label.groupBy("label").agg(F.min("first_id").alias("class_id")).select(F.col("label").alias("l"), "class_id"), "least")
     classes = s.save(label.join(least, F.col("label") == F.col("l")).select(F.col("dg").alias("cd"), "class_id"), "classes")

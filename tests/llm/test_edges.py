@@ -104,6 +104,28 @@ def test_signatures_are_unbiased():
     assert abs(same - op3_bagminhash.similarity(a, b)) < 0.03
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_large_buckets_are_gone_through_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(op3_bagminhash, "SMALL", 6)
+    monkeypatch.setattr(op3_bagminhash, "BLOCK", block)
+    rows = []
+    for i in range(160):
+        w = list(BASE)
+        for k in rng.sample(range(len(w)), 2 + i % 9):
+            w[k] = f"new{i}-{k}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in op3_bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.classes(rows)
+
+
+def test_tile_links():
+    texts = [" ".join(BASE), " ".join(NEAR), LONG, " ".join(NEAR), "a b a b a b a b a b"]
+    links = lambda asks, labels: op3_bagminhash.tile_links(list("abcde"), labels, texts, asks, 0.8)
+    assert links([True, False, False, False, False], list("abcde")) == [("a", "b"), ("a", "d")]
+    assert links([True, False, False, False, False], list("abcbe")) == [("a", "b")]
+    assert links([False] * 5, list("abcde")) == links([True] * 5, list("abcde")) == []
+
+
 def test_html_templates_and_markup(spark):
     page = lambda i, extra="": f"<html><body><div class=top>Shop of things</div><div>Call us now</div><div id=x>Story {i} &amp; more<br>text</div><form><p>mail</p></form>{extra}<div>All about us</div></body>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(6)] + [(10, "http://h.org/z", None), (11, None, "<p>a<p>b &lt;c"), (12, "http://o.org/", "<article><p>One  two</p><div class='comments'><p>me too</p></div><p>Three</article><p>x"), (13, "x", "")]
