@@ -6,16 +6,19 @@ vector, how often it is on which page. Tokens with equal vectors form an
 equivalence class; a class is valid if it has several tokens and is on enough of
 the host's pages. Valid classes nest by support, the widest outside, and together
 are the host's template. Blocks that are template tokens are dropped, what is
-left are the slots; of these the article's are the main text.
+left are the slots. Where the template marks an article (``article``, ``main``),
+the slots below that mark are the main text, elsewhere all slots are.
 
 Vectors are never built: a class is known by the exclusive or of hashes of (page,
 count), which is summed up per host and token before any shuffle, so that a host
 with a third of all pages is no hot group.
 
-Where the page marks its article (``article``, ``main``), its blocks are taken,
-and a template only counts outside, as a host's pages may well be copies of one
-article. Elements for navigation, forms, notices, adverts and comments, by tag or
-by class name, are left out in any case.
+Text below such a mark is never a template token, as a host's pages may well be
+copies of one article. An article that stands elsewhere than the template's, a
+teaser say, only counts on a page that has none at the template's place or whose
+host has no template: such pages are read by their own marks. Elements for navigation,
+forms, notices, adverts and comments, by tag or by class name, are left out in any
+case.
 
 Defined cases: a null or empty html has an empty text; a host with few pages, or
 a null url, has no template; repeated rows are extracted alike; an empty table
@@ -77,7 +80,7 @@ def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
 
     def flush():
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             parts.clear()
             if text:
                 _, out, inside = stack[-1] if stack else ("", False, False)
@@ -87,7 +90,7 @@ def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
         tag = m[2]
         if tag is None:
             if not skip and m[0][:2] not in ("<!", "<?"):
-                parts.append(m[0])
+                parts.append(unescape(m[0]) if "&" in m[0] else m[0])
             continue
         tag, closing = tag.lower(), bool(m[1])
         if skip:
@@ -143,13 +146,27 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def article_marks(tags: list[str], template: frozenset[int]) -> tuple[str, ...]:
+    """Paths at which the template itself has an article."""
+    marks = {p for p in tags if p.rpartition("/")[2] in ("article", "main")}
+    return tuple(sorted(p for p in marks if _token(p, "") in template))
+
+
+def slots(blocks: list[tuple[str, str, bool, bool]], template: frozenset[int]) -> list[tuple[str, str, bool]]:
+    """(path, text, in an article) of each block that is no template token and not left out."""
+    return [(p, t, inside) for p, t, inside, out in blocks if not out and (inside or _token(p, t) not in template)]
+
+
 def main_text(html: str | None, template: frozenset[int]) -> str:
-    blocks, _ = parse(html or "")
-    article = [t for _, t, inside, out in blocks if inside and not out]
-    if article:
-        return "\n".join(article)
-    slots = [t for p, t, _, out in blocks if not out and _token(p, t) not in template]
-    return "\n".join(slots or [t for _, t, _, out in blocks if not out])
+    blocks, tags = parse(html or "")
+    free = slots(blocks, template)
+    if template:
+        marks = article_marks(tags, template)
+        below = [t for p, t, inside in free if inside and any(p == m or p.startswith(m + "/") for m in marks)]
+        if below:
+            return "\n".join(below)
+    marked = [t for _, t, inside in free if inside]
+    return "\n".join(marked or [t for _, t, _ in free] or [t for _, t, _, out in blocks if not out])
 
 
 def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -193,7 +210,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             texts = []
             for html, template in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                texts.append(main_text(html, frozenset(np.array(template or [], np.int64).view(np.uint64).tolist()) if html and "<article" not in html else frozenset()))
+                texts.append(main_text(html, frozenset(x % 2**64 for x in template or ())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.join(small_side(templates, BROADCAST_ROWS), host == F.col("th"), "left")

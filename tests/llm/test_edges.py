@@ -86,6 +86,16 @@ def test_redaction_and_cleaning_keep_columns(docs):
     assert op3_bagminhash.keep_one(docs).where("doc_id in (7, 8)").count() == 0
 
 
+def test_one_row_of_each_class_stays(spark, docs):
+    kept = op3_bagminhash.keep_one(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert kept.columns == docs.columns and kept.count() == len(set(brute.classes(rows).values()))
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id in (0, 1, 2, 6, 7, 8)) == [0, 6]
+    odd = [(5, " ".join(BASE)), (5, " ".join(NEAR)), (5, LONG), (5, LONG), (None, "no id here"), (None, "no id here"), (None, LONG)]
+    got = op3_bagminhash.keep_one(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, len(r.text) > 5000) for r in got) == [(0, False), (5, False), (5, True)]
+
+
 def test_trigram_queries():
     assert op6_secrets.mandatory("[0-9a-f]+") == []
     assert op6_secrets.mandatory("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
@@ -130,6 +140,13 @@ def test_html_templates_and_markup(spark):
     page = lambda i, extra="": f"<html><body><div class=top>Shop of things</div><div>Call us now</div><div id=x>Story {i} &amp; more<br>text</div><form><p>mail</p></form>{extra}<div>All about us</div></body>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(6)] + [(10, "http://h.org/z", None), (11, None, "<p>a<p>b &lt;c"), (12, "http://o.org/", "<article><p>One  two</p><div class='comments'><p>me too</p></div><p>Three</article><p>x"), (13, "x", "")]
     got = {r.page_id: r.text for r in op1_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
+    marked = lambda i, own: f"<html><body><div>Shop of things</div>{own}<div>All about us</div></body></html>"
+    same = "<article><h1>One story</h1><p>AT&am<b>p;T</b></p></article>"
+    rows = [(i, f"http://m.org/{i}", marked(i, same)) for i in range(5)] + [(5, "http://m.org/5", marked(5, "<div><article><p>Own place</p></article></div>")), (6, "http://m.org/6", marked(6, "<div>No mark</div>")), (7, "http://m.org/7", marked(7, same + "<div><article><p>Teaser</p></article></div>"))]
+    more = {r.page_id: r.text for r in op1_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {more[i] for i in (0, 1, 2, 3, 4, 7)} == {"One story\nAT&amp;T"} and more[5] == "Own place" and more[6] == "No mark"
+    _, tags = op1_html.parse(marked(0, same))
+    assert op1_html.article_marks(tags, frozenset({op1_html._token("html/body/article", "")})) == ("html/body/article",)
     assert got[3] == "Story 3 & more text" and got[10] == "" and got[11] == "a\nb <c" and got[12] == "One two\nThree" and got[13] == ""
 
 
