@@ -20,6 +20,7 @@ slot each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,7 +84,8 @@ def shard(docs: DataFrame, n_shards: int = 8, load_factor: float = 0.0, cells: i
     by_cell: dict[int, list] = {}
     for c, rank, s, slot in segments:
         by_cell.setdefault(c, []).append((rank, s, slot))
-    table = spark.createDataFrame([(c, sorted(v)) for c, v in by_cell.items()], "cell int, seg array<struct<rank:long,shard:int,slot:long>>")
+    listed = json.dumps([{"cell": c, "seg": [dict(zip(("rank", "shard", "slot"), x)) for x in sorted(v)]} for c, v in by_cell.items()])
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<cell:int,seg:array<struct<rank:bigint,shard:int,slot:bigint>>>>")))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "size", "text_crc32")) - 1
     placed = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(table), "cell")  # bounded by `cells`
     seg = F.element_at(F.filter("seg", lambda x: x["rank"] <= F.col("rank")), -1)
