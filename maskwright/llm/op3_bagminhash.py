@@ -228,8 +228,8 @@ def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """Per row: doc_id, class_id (the smallest doc_id of its class) and whether the row's text stays."""
+def classify(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """Per row: doc_id, class_id, stays and the text's digest ``dg``."""
     spark = docs.sparkSession
     s = Scratch(spark, "bagminhash")
     docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
@@ -308,16 +308,35 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
 
     label = nodes.select("dg", "first_id").join(small_side(labels, BROADCAST_ROWS), F.col("dg") == F.col("node"), "left").select("dg", "first_id", F.coalesce("label", "dg").alias("label"))
     label = s.save(label, "label")
-    least = s.save(label.groupBy("label").agg(F.min("first_id").alias("class_id")).select(F.col("label").alias("l"), "class_id"), "least")
-    classes = s.save(label.join(least, F.col("label") == F.col("l")).select(F.col("dg").alias("cd"), "class_id"), "classes")
-    return signed.select("doc_id", "dg").join(classes, F.col("dg") == F.col("cd"), "left").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("stays"))
+    least = label.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min_by("dg", F.struct(F.col("first_id").isNull(), "first_id", "dg")).alias("kept"))
+    least = s.save(least.select(F.col("label").alias("l"), "class_id", "kept"), "least")
+    classes = s.save(label.join(least, F.col("label") == F.col("l")).select(F.col("dg").alias("cd"), "class_id", (F.col("dg") == F.col("kept")).alias("kept")), "classes")
+    return signed.select("doc_id", "dg").join(classes, F.col("dg") == F.col("cd"), "left").select(
+        "doc_id", "class_id", (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"), "dg"
+    )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """Per row: doc_id, class_id (the smallest doc_id of its class) and whether the row's text stays."""
+    return classify(docs, threshold, bands, rows).drop("dg")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each class the document with the smallest doc_id, columns unchanged; one of rows that repeat it."""
+    """Pipeline form: of each class the document with the smallest doc_id, columns unchanged.
+
+    Texts of one class that share this doc_id are told apart by their digests, and
+    of rows equal in both one stays; a class without any doc_id keeps a row as well.
+    """
     s = Scratch(docs.sparkSession, "keep-one")
-    stay = s.save(near_duplicates(docs.select("doc_id", "text")).where("stays or doc_id is null").select(F.col("doc_id").alias("sd")).distinct(), "stay")
-    return docs.join(small_side(stay, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("sd")), "left_semi")
+    names = docs.columns
+    stay = classify(docs.select("doc_id", "text")).where("stays").groupBy("doc_id", "dg").agg(F.count("*").alias("_rows"))
+    stay = s.save(stay.select(F.col("doc_id").alias("_sd"), F.col("dg").alias("_sg"), "_rows"), "stay")
+    rows = docs.withColumn("_dg", _digest())
+    kept = rows.join(small_side(stay, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("_sd")) & (F.col("_dg") == F.col("_sg")))
+    if stay.where("_rows > 1").isEmpty():
+        return kept.select(*names)
+    again = kept.where("_rows > 1").dropDuplicates(["_sd", "_sg"])
+    return kept.where("_rows = 1").unionByName(again).select(*names)
 
 
 def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
