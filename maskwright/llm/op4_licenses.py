@@ -10,6 +10,12 @@ there, and the template's mandatory key phrases must all stand where they should
 Base phrases are templates that are mandatory as a whole. Their rarest word is in
 every occurrence, so looking it up everywhere misses none.
 
+Short notices ("licensed under the GNU General Public License, version 3") are
+found alike: a licence's name is mandatory as a whole, and what stands before it
+must lead in, that is go back over filling words to "under" or to the name of
+another licence that is led in itself. They count for ``labels`` and ``score``,
+not for the base columns.
+
 Defined cases: null and empty texts have no words; repeated rows are scanned
 alike; an empty table gives an empty result; among places of equal score all are
 kept and the label is listed once; other columns are ignored.
@@ -48,6 +54,25 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
 ]
+# Names of licences in short notices. A version that the label names must be there.
+NOTICES = {
+    "mit": ["mit license", "mit x11 license", "expat license", "spdx license identifier mit"],
+    "apache-2": ["apache license version 2", "apache license v2", "apache license v 2", "apache license 2", "apache 2", "apache v2", "apache software license version 2", "apache software license 2", "version 2 of the apache license", "version 2 0 of the apache license"],
+    "bsd": ["bsd license", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "2 clause bsd", "3 clause bsd", "4 clause bsd", "two clause bsd", "three clause bsd", "new bsd", "simplified bsd", "modified bsd", "revised bsd"],
+    "gpl": ["gnu general public license", "gpl", "gplv1", "gplv2", "gplv3", "gpl2", "gpl3"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license", "lesser gpl", "lgpl", "lgplv2", "lgplv3", "lgpl2", "lgpl3"],
+    "mpl-2": ["mozilla public license version 2", "mozilla public license v2", "mozilla public license v 2", "mozilla public license 2", "mpl 2", "mpl v2", "mpl v 2", "mplv2", "mpl2", "version 2 of the mozilla public license", "version 2 0 of the mozilla public license"],
+    "isc": ["isc license", "spdx license identifier isc"],
+    "unlicense": ["unlicense"],
+    "cc-by": ["creative commons attribution", "cc by"],
+    "cc-by-sa": ["creative commons attribution sharealike", "creative commons attribution share alike", "cc by sa"],
+    "cc-by-nc": ["creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"],
+}
+LEAD_IN = frozenset(b"under identifier".split())
+FILLING = frozenset(b"the a an terms and conditions of either or both any later version versions v gnu license licence licenses licences international unported generic".split())
+LONGEST_LEAD = 16
+# An attribution licence with one of these behind its name is another licence.
+OTHER_CC = frozenset(b"nc nd sa noncommercial non noderivs noderivatives no sharealike share".split())
 RARE, LEAST_VOTE, LEAST_SCORE = 6, 0.4, 0.8
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -72,9 +97,26 @@ def _templates() -> list[tuple[str, list[bytes], list[tuple[int, list[bytes]]]]]
     return out
 
 
+def _notices() -> list[tuple[str, list[bytes]]]:
+    """Names in short notices, in both spellings of the word licence."""
+    both = {(label, n) for label, names in NOTICES.items() for name in names for n in (name, name if name.startswith("spdx") else name.replace(" license", " licence"))}
+    return [(label, words_of(n)) for label, n in sorted(both)]
+
+
+def led_in(words: list[bytes], at: int, ends: set[int]) -> bool:
+    """Whether what stands before ``at`` leads in a licence; ``ends`` are the places behind those that are led in."""
+    for i in range(at, max(at - LONGEST_LEAD, 0), -1):
+        w = words[i - 1]
+        if w in LEAD_IN or i in ends and i < at:
+            return True
+        if w not in FILLING and not w.isdigit():
+            return False
+    return False
+
+
 def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     """The number of documents, and for each word of a template that of those that hold it; all documents count."""
-    vocab = frozenset(w for _, p in _phrases() for w in p) | frozenset(w for _, t, _ in _templates() for w in t)
+    vocab = frozenset(w for _, p in _phrases() for w in p) | frozenset(w for _, t, _ in _templates() for w in t) | frozenset(w for _, p in _notices() for w in p)
 
     def run(batches):
         for b in batches:
@@ -94,10 +136,8 @@ class Index:
     def __init__(self, n_docs: int, df: dict[bytes, int]):
         self.idf = lambda w: math.log((1 + n_docs) / (1 + df.get(w, 0)))
         self.phrases, self.templates = _phrases(), _templates()
-        self.base: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.phrases):
-            at = max(range(len(words)), key=lambda i: (self.idf(words[i]), words[i]))
-            self.base[words[at]].append((k, at))
+        self.notices = _notices()
+        self.base, self.names = self._by_rarest(self.phrases), self._by_rarest(self.notices)
         self.rare: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.weight = []
         for k, (_, words, _) in enumerate(self.templates):
@@ -106,15 +146,35 @@ class Index:
                 if w in chosen:
                     self.rare[w].append((k, i))
             self.weight.append(sum(self.idf(w) for w in words if w in chosen))
-        self.keys = frozenset(self.base) | frozenset(self.rare)
+        self.keys = frozenset(self.base) | frozenset(self.rare) | frozenset(self.names)
+
+    def _by_rarest(self, phrases: list[tuple[str, list[bytes]]]) -> dict[bytes, list[tuple[int, int]]]:
+        out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for k, (_, words) in enumerate(phrases):
+            at = max(range(len(words)), key=lambda i: (self.idf(words[i]), words[i]))
+            out[words[at]].append((k, at))
+        return out
+
+    def _noticed(self, words: list[bytes], named: list[tuple[int, int]]) -> set[str]:
+        """Labels of the names (start, notice) that are led in, from left to right."""
+        labels, ends = set(), set()
+        for start, k in sorted(named):
+            label, p = self.notices[k]
+            end = start + len(p)
+            if label == "cc-by" and end < len(words) and words[end] in OTHER_CC:
+                continue
+            if p[0] == b"spdx" or led_in(words, start, ends):
+                labels.add(label)
+                ends.add(end)
+        return labels
 
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
         n = len(words)
         if self.keys.isdisjoint(words):
             return n, 0, None, None, "", "", 0.0
-        starts, labels, votes = [], set(), Counter()
-        base, rare, keys = self.base, self.rare, self.keys
+        starts, labels, votes, named = [], set(), Counter(), []
+        base, rare, names, keys = self.base, self.rare, self.names, self.keys
         for i, w in enumerate(words):
             if w in keys:
                 for k, at in base.get(w, ()):
@@ -122,9 +182,14 @@ class Index:
                     if i >= at and words[i - at : i - at + len(p)] == p:
                         starts.append(i - at)
                         labels.add(self.phrases[k][0])
+                for k, at in names.get(w, ()):
+                    p = self.notices[k][1]
+                    if i >= at and words[i - at : i - at + len(p)] == p:
+                        named.append((i - at, k))
                 for k, at in rare.get(w, ()):
                     votes[k, i - at] += self.idf(w)
-        own, score = set(labels), 1.0 if labels else 0.0
+        own = labels | self._noticed(words, named)
+        score = 1.0 if own else 0.0
         for (k, at), v in votes.items():
             label, t, placed = self.templates[k]
             if v < LEAST_VOTE * self.weight[k]:
