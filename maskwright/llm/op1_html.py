@@ -13,8 +13,10 @@ Vectors are never built: a class is known by the exclusive or of hashes of (page
 count), which is summed up per host and token before any shuffle, so that a host
 with a third of all pages is no hot group.
 
-Text below such a mark is never a template token, as a host's pages may well be
-copies of one article. An article that stands elsewhere than the template's, a
+Text below such a mark is counted apart, over the host's distinct articles and not
+over its pages, which may well be copies of one article. What is on enough of the
+articles and in a valid class is template there too, but never all of an article:
+if nothing else is left, it stays. An article that stands elsewhere than the template's, a
 teaser say, only counts on a page that has none at the template's place or whose
 host has no template: such pages are read by their own marks. Elements for navigation,
 forms, notices, adverts and comments, by tag or by class name, are left out in any
@@ -154,27 +156,41 @@ def article_marks(tags: list[str], template: frozenset[int]) -> tuple[str, ...]:
 
 def slots(blocks: list[tuple[str, str, bool, bool]], template: frozenset[int]) -> list[tuple[str, str, bool]]:
     """(path, text, in an article) of each block that is no template token and not left out."""
-    return [(p, t, inside) for p, t, inside, out in blocks if not out and (inside or _token(p, t) not in template)]
+    return [(p, t, inside) for p, t, inside, out in blocks if not out and _token(p, t) not in template]
 
 
 def main_text(html: str | None, template: frozenset[int]) -> str:
     blocks, tags = parse(html or "")
-    free = slots(blocks, template)
+    free, whole = slots(blocks, template), slots(blocks, frozenset())
     if template:
         marks = article_marks(tags, template)
-        below = [t for p, t, inside in free if inside and any(p == m or p.startswith(m + "/") for m in marks)]
-        if below:
-            return "\n".join(below)
-    marked = [t for _, t, inside in free if inside]
+        for some in (free, whole):
+            below = [t for p, t, inside in some if inside and any(p == m or p.startswith(m + "/") for m in marks)]
+            if below:
+                return "\n".join(below)
+    marked = [t for _, t, inside in free if inside] or [t for _, t, inside in whole if inside]
     return "\n".join(marked or [t for _, t, _ in free] or [t for _, t, _, out in blocks if not out])
 
 
+def article_tokens(blocks: list[tuple[str, str, bool, bool]]) -> tuple[int, Counter]:
+    """A page's marked text: its hash, and how often each of its tokens is there; tags by their paths, once each."""
+    live = [(p, t) for p, t, inside, out in blocks if inside and not out]
+    seen = Counter(_token(p, t) for p, t in live)
+    tags = set()
+    for path in {p for p, _ in live}:
+        steps = path.split("/")
+        first = next(i for i, t in enumerate(steps) if t in ("article", "main"))
+        tags.update("/".join(steps[: i + 1]) for i in range(first, len(steps)))
+    seen.update(_token(p, "\0") for p in tags)
+    return _token("", "\0".join(x for b in live for x in b)), seen
+
+
 def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(th, template): per host the tokens of its valid classes, outermost class first."""
 
     def tokens(batches):
         for b in batches:
-            hosts, keys, vectors = [], [], []
+            hosts, parts, keys, vectors = [], [], [], []
             for page, (url, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 host = host_of(url)
                 if not host or not html:
@@ -184,16 +200,24 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 seen.update(_token(p, "") for p in tags)
                 me = f"{url}\0{xxhash.xxh3_64_intdigest(html.encode('utf-8', 'surrogatepass'))}"
                 own = xxhash.xxh3_64_intdigest(me.encode("utf-8", "surrogatepass"))
-                hosts += [host] * (len(seen) + 1)
-                keys += [0, *seen]  # 0 stands for the page itself
-                vectors += [own, *(xxhash.xxh3_64_intdigest(c.to_bytes(8, "big"), own % 2**63) for c in seen.values())]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(vectors, np.uint64).view(np.int64))], ["host", "token", "vector"])
-
-    rows = pages.select("url", "html").mapInArrow(tokens, "host string, token long, vector long")
-    seen = scratch.save(rows.groupBy("host", "token").agg(F.count("*").alias("n"), F.expr("bit_xor(vector)").alias("vector")), "tokens")
-    total = seen.where("token = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    frequent = seen.where(f"token <> 0 and n >= {LEAST_PAGES}").join(total, (F.col("host") == F.col("h")) & (F.col("n") >= F.col("pages") * LEAST_SHARE))
-    classes = frequent.groupBy("host", "n", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_CLASS)
+                article, below = article_tokens(blocks)
+                for part, whole, found in ((False, own, seen), (True, article, below)):
+                    if part and not found:
+                        continue
+                    hosts += [host] * (len(found) + 1)
+                    parts += [part] * (len(found) + 1)
+                    keys += [0, *found]  # 0 stands for the page or article itself
+                    vectors += [whole, *(xxhash.xxh3_64_intdigest(c.to_bytes(8, "big"), whole % 2**63) for c in found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(parts, pa.bool_()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(vectors, np.uint64).view(np.int64))], ["host", "part", "token", "vector"])
+
+    rows = pages.select("url", "html").mapInArrow(tokens, "host string, part boolean, token long, vector long")
+    # copies of an article count once; pages are summed up before the shuffle
+    once = rows.groupBy("host", "part", "token", F.when(F.col("part"), F.col("vector")).alias("own")).agg(F.count("*").alias("n"), F.expr("bit_xor(vector)").alias("vector"))
+    once = once.select("host", "part", "token", F.expr("if(part, 1L, n)").alias("n"), F.expr("if(part, own, vector)").alias("vector"))
+    seen = scratch.save(once.groupBy("host", "part", "token").agg(F.sum("n").alias("n"), F.expr("bit_xor(vector)").alias("vector")), "tokens")
+    total = seen.where("token = 0").select(F.col("host").alias("h"), F.col("part").alias("of"), F.col("n").alias("pages"))
+    frequent = seen.where(f"token <> 0 and n >= {LEAST_PAGES}").join(total, (F.col("host") == F.col("h")) & (F.col("part") == F.col("of")) & (F.col("n") >= F.col("pages") * LEAST_SHARE))
+    classes = frequent.groupBy("host", "part", "n", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_CLASS)
     nested = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "tokens"))).alias("nest"))
     return scratch.save(nested.select(F.col("host").alias("th"), F.flatten("nest.tokens").alias("template")), "templates")
 
