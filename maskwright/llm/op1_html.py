@@ -20,7 +20,8 @@ if nothing else is left, it stays. An article that stands elsewhere than the tem
 teaser say, only counts on a page that has none at the template's place or whose
 host has no template: such pages are read by their own marks. Elements for navigation,
 forms, notices, adverts and comments, by tag or by class name, are left out in any
-case.
+case, unless they wrap the page: an element around the main text is no such element,
+see ``_wrappers``. A head ends with the first text or element of the body.
 
 Defined cases: a null or empty html has an empty text; a host with few pages, or
 a null url, has no template; repeated rows are extracted alike; an empty table
@@ -47,9 +48,9 @@ LEAST_PAGES, LEAST_SHARE, LEAST_CLASS, BROADCAST_ROWS = 4, 0.5, 2, 20_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>?|<[!?][^>]*>?|[^<]+|<""", re.S)
 # HTML elements by their part in a page.
-RAW = frozenset("script style noscript template svg math iframe object select textarea title head canvas audio video".split())
+RAW = frozenset("script style noscript template svg math iframe object select textarea title canvas audio video".split())
 AWAY = frozenset("nav footer aside form button dialog menu".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset("head area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MARKED = re.compile(
@@ -62,37 +63,93 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 HIDDEN = re.compile(r"""(?:\s|^)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+# Class names of a wrapper's state, as has-sidebar or page-without-comments.
+STATE = re.compile(r"(?:^|[_-])(?:has|have|no|not|with|without|show|hide|is)[_-]", re.I)
+
+
+def _marked(value: str) -> bool:
+    return bool(MARKED.search(value)) and any(MARKED.search(x) for x in value.split() if not STATE.search(x))
+
+
+def _own_word(attrs: str) -> bool:
+    """Whether a whole class, id or role is such a word."""
+    return any((m := MARKED.search(x)) and len(m[0]) == len(x) for v in ATTR.findall(attrs) for x in v.strip("\"'").split())
+
+
 def _left_out(tag: str, attrs: str, inside: bool) -> bool:
     if tag in AWAY or tag == "header" and not inside:
         return True
     if "=" in attrs or "hidden" in attrs:
         for value in ATTR.findall(attrs):
             value = value.strip("\"'")
-            if MARKED.search(value) or value.lower() in ROLES or not inside and MASTHEAD.search(value):
+            if _marked(value) or value.lower() in ROLES or not inside and MASTHEAD.search(value):
                 return tag not in ("html", "body", "article", "main")
         return bool(HIDDEN.search(attrs)) and tag not in ("html", "body")
     return False
 
 
+class _Away:
+    """An element that is left out, and what is below it."""
+
+    __slots__ = ("tag", "plain", "main", "article", "titled", "h1", "size", "linked")
+
+    def __init__(self, tag: str, attrs: str):
+        self.tag, self.plain = tag, tag == "form" or tag not in AWAY and tag != "header" and not _own_word(attrs)
+        self.main = self.article = self.titled = self.h1 = False
+        self.size = self.linked = 0
+
+
+def _wrappers(blocks: list[tuple[str, str, bool, tuple[_Away, ...]]]) -> frozenset[_Away]:
+    """The left-out elements that stay, as they wrap the main text.
+
+    Such are those with a ``main`` or an article with a ``h1`` below; where no marked
+    text is left, those with an article below that is no comment or the like; and where
+    there is none either, those with more than half of the page's text, most of it no
+    links, that have a ``h1`` or, named by no whole word, leave hardly any text.
+    """
+    known = {a for b in blocks for a in b[3]}
+    if not known:
+        return frozenset()
+    stay = {a for a in known if a.main or a.titled}
+
+    def left(inside: bool) -> int:
+        return sum(len(t) for _, t, i, away in blocks if (i or not inside) and stay.issuperset(away))
+
+    if not left(True):
+        stay |= {a for a in known if a.article and (a.tag == "form" or a.tag not in AWAY)}
+        if not left(True):
+            total, rest = sum(len(b[1]) for b in blocks), left(False)
+            for a in known:
+                if 2 * a.size > total and 2 * a.linked < a.size and (a.tag == "form" or a.tag not in AWAY and a.tag != "header"):
+                    if a.h1 or a.plain and 10 * rest < total:
+                        stay.add(a)
+    return frozenset(stay)
+
+
 def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
     """(blocks, tags): each block (path, text, in an article, left out), in page order; each tag's path."""
     blocks, tags, parts = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, in an article
-    skip = ""
+    stack: list[tuple[str, tuple[_Away, ...], bool]] = []  # tag, left out by, in an article
+    skip, link = "", False
 
     def flush():
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                _, out, inside = stack[-1] if stack else ("", False, False)
-                blocks.append(("/".join(t for t, _, _ in stack if t not in INLINE), text, inside, out))
+                _, away, inside = stack[-1] if stack else ("", (), False)
+                blocks.append(("/".join(t for t, _, _ in stack if t not in INLINE), text, inside, away))
+                for a in away:
+                    a.size += len(text)
 
     for m in TOKEN.finditer(html):
         tag = m[2]
         if tag is None:
             if not skip and m[0][:2] not in ("<!", "<?"):
                 parts.append(unescape(m[0]) if "&" in m[0] else m[0])
+                if link and stack:
+                    for a in stack[-1][1]:
+                        a.linked += len(parts[-1])
             continue
         tag, closing = tag.lower(), bool(m[1])
         if skip:
@@ -106,12 +163,14 @@ def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
                 flush()
             continue
         if tag in INLINE:
+            if tag == "a":
+                link = not closing
             if tag == "br" or tag == "img":
                 parts.append(" ")
             elif not closing and _left_out(tag, m[3], bool(stack) and stack[-1][2]):
                 flush()
-                top = stack[-1] if stack else ("", False, False)
-                stack.append((tag, True, top[2]))
+                top = stack[-1] if stack else ("", (), False)
+                stack.append((tag, (*top[1], _Away(tag, m[3])), top[2]))
             elif closing and stack and stack[-1][0] == tag:
                 flush()
                 stack.pop()
@@ -127,14 +186,22 @@ def parse(html: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             continue
         if tag in CLOSES_P and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        _, out, inside = stack[-1] if stack else ("", False, False)
+        _, away, inside = stack[-1] if stack else ("", (), False)
+        if away and tag in ("article", "main", "h1"):
+            real = tag == "article" and not any(_marked(v.strip("\"'")) for v in ATTR.findall(m[3]))
+            in_article = tag == "h1" and any(t == "article" for t, _, _ in stack)
+            for a in away:
+                a.main, a.article, a.h1 = a.main or tag == "main", a.article or real, a.h1 or tag == "h1"
+                a.titled = a.titled or in_article and a.article
         inside = inside or tag in ("article", "main")
-        out = out or _left_out(tag, m[3], inside)
+        if _left_out(tag, m[3], inside):
+            away = (*away, _Away(tag, m[3]))
         if not m[3].endswith("/"):
-            stack.append((tag, out, inside))
+            stack.append((tag, away, inside))
         tags.append("/".join(t for t, _, _ in stack))
     flush()
-    return blocks, tags
+    stay = _wrappers(blocks)
+    return [(p, t, inside, not stay.issuperset(away)) for p, t, inside, away in blocks], tags
 
 
 def _token(path: str, text: str) -> int:

@@ -1,5 +1,7 @@
 """Templates inside articles, wrappers that take the main text, and page heads."""
 
+import pytest
+
 from maskwright.llm import op1_html
 
 
@@ -22,3 +24,30 @@ def test_boilerplate_inside_a_mark_goes_and_copies_stay(spark):
     both = "\nBy the staff\nRead also: things"
     assert got[12:19] == ["copied\nText of copied" + both] * 6 + ["other\nText of other" + both]
     assert got[19] == both[1:]
+
+
+BODY = "<h1>Title</h1><p>A long enough text of the article.</p><p>And its end.</p>"
+TEXT = "Title\nA long enough text of the article.\nAnd its end."
+NAV, COMMENTS = "<nav><a href=x>Home</a></nav>", "<div class='comments'><p>me too, " + "and so on " * 40 + "</p></div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<body>{NAV}<div class='content has-sidebar'><article>{BODY}</article></div>", TEXT),
+    (f"<body>{NAV}<div class='site no-comments'><div>{BODY}</div><div class=sidebar>Other</div></div>", TEXT),
+    (f"<body>{NAV}<div class='right-sidebar layout'><article>{BODY}</article><div class=right-sidebar>Other</div></div>", TEXT),
+    (f"<body>{NAV}<div class='right-sidebar layout'><div>{BODY}</div></div>", TEXT),
+    (f"<body>{NAV}<div class='right-sidebar layout'><main>{BODY}</main></div><div><article>Teaser</article></div>", TEXT + "\nTeaser"),
+    (f"<body><form action=x>{NAV}<div>{BODY}</div><footer>All about us</footer></form>", TEXT),
+    (f"<body><form action=x>{NAV}<article>{BODY}</article></form>", TEXT),
+    (f"<html><head><meta charset=utf-8><title>T</title><body>{NAV}<article>{BODY}</article>", TEXT),
+    (f"<head><title>T</title><style>p{{}}</style><div>{BODY}</div>", TEXT),
+    # what is no wrapper stays left out
+    (f"<body><div>{BODY}</div>{COMMENTS}<div class='post-sidebar'>Other</div><form><p>mail</p></form>", TEXT),
+    (f"<body><article>{BODY}</article><div id=comments><article class=comment-body>me too</article></div>", TEXT),
+    (f"<body><div>{BODY}</div><div id=comments><article class=comment-body>me too</article></div>", TEXT),
+    (f"<body><article>{BODY}</article><div class=related><article>Teaser</article></div>", TEXT),
+    ("<body><p>Sh is.</p>" + COMMENTS, "Sh is."),
+    ("<body><p>Sh is.</p><div class='top-menu'>" + "<a href=x>one of the links</a> " * 30 + "</div>", "Sh is."),
+])
+def test_wrappers_and_heads(html, text):
+    assert op1_html.main_text(html, frozenset()) == text
