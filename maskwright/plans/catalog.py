@@ -80,7 +80,7 @@ def detector_counts(spark, sf_dir):
 
 @query(f"with logs as ({LOGS}) select count(*) n_on, 0 n_off from logs where cat = 'phone'")
 def phone_optin(spark, sf_dir):
-    rows = logs(spark, sf_dir).where("text like 'call %'")
+    rows = logs(spark, sf_dir)
     on = found(rows, registry.active(enable={"phone"})).where("category = 'phone'").agg(F.count("*").alias("n_on"))
     off = found(rows).where("category = 'phone'").agg(F.count("*").cast("int").alias("n_off"))
     return on.crossJoin(off)  # two rows of one
