@@ -4,13 +4,13 @@ A page is a sequence of tokens: its tags and its text blocks, each with the path
 at which it stands. Over the pages of one host each token has an occurrence
 vector, how often it is on which page. Tokens with equal vectors form an
 equivalence class; a class is valid if it has several tokens and is on enough of
-the host's pages. Valid classes nest by support, the widest outside, and together
-are the host's template. Blocks that are template tokens are dropped, what is
+the host's pages. Valid classes together are the host's template; their order and
+nesting are not tested. Blocks that are template tokens are dropped, what is
 left are the slots. Where the template marks an article (``article``, ``main``),
 the slots below that mark are the main text, elsewhere all slots are.
 
-Vectors are never built: a class is known by the exclusive or of hashes of (page,
-count), which is summed up per host and token before any shuffle, so that a host
+Vectors are never built: a class is known by the sum of hashes of (page, count), in
+which repeated rows do not cancel out. It is summed up per host and token before any shuffle, so that a host
 with a third of all pages is no hot group.
 
 Text below such a mark is counted apart, over the host's distinct articles and not
@@ -277,14 +277,16 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
                     vectors += [whole, *(xxhash.xxh3_64_intdigest(c.to_bytes(8, "big"), whole % 2**63) for c in found.values())]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(parts, pa.bool_()), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.array(vectors, np.uint64).view(np.int64))], ["host", "part", "token", "vector"])
 
+    # in halves, whose sums do not overflow
+    halves = F.expr("sum(shiftright(vector, 32))").alias("high"), F.expr("sum(vector & 4294967295L)").alias("low")
     rows = pages.select("url", "html").mapInArrow(tokens, "host string, part boolean, token long, vector long")
     # copies of an article count once; pages are summed up before the shuffle
-    once = rows.groupBy("host", "part", "token", F.when(F.col("part"), F.col("vector")).alias("own")).agg(F.count("*").alias("n"), F.expr("bit_xor(vector)").alias("vector"))
-    once = once.select("host", "part", "token", F.expr("if(part, 1L, n)").alias("n"), F.expr("if(part, own, vector)").alias("vector"))
-    seen = scratch.save(once.groupBy("host", "part", "token").agg(F.sum("n").alias("n"), F.expr("bit_xor(vector)").alias("vector")), "tokens")
+    once = rows.groupBy("host", "part", "token", F.when(F.col("part"), F.col("vector")).alias("own")).agg(F.count("*").alias("n"), *halves)
+    once = once.select("host", "part", "token", F.expr("if(part, 1L, n)").alias("n"), *(F.expr(f"if(part, {cut}, {name})").alias(name) for name, cut in (("high", "shiftright(own, 32)"), ("low", "own & 4294967295L"))))
+    seen = scratch.save(once.groupBy("host", "part", "token").agg(F.sum("n").alias("n"), F.sum("high").alias("high"), F.sum("low").alias("low")), "tokens")
     total = seen.where("token = 0").select(F.col("host").alias("h"), F.col("part").alias("of"), F.col("n").alias("pages"))
     frequent = seen.where(f"token <> 0 and n >= {LEAST_PAGES}").join(total, (F.col("host") == F.col("h")) & (F.col("part") == F.col("of")) & (F.col("n") >= F.col("pages") * LEAST_SHARE))
-    classes = frequent.groupBy("host", "part", "n", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_CLASS)
+    classes = frequent.groupBy("host", "part", "n", "high", "low").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_CLASS)
     nested = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "tokens"))).alias("nest"))
     return scratch.save(nested.select(F.col("host").alias("th"), F.flatten("nest.tokens").alias("template")), "templates")
 

@@ -51,3 +51,10 @@ NAV, COMMENTS = "<nav><a href=x>Home</a></nav>", "<div class='comments'><p>me to
 ])
 def test_wrappers_and_heads(html, text):
     assert op1_html.main_text(html, frozenset()) == text
+
+
+def test_repeated_rows_do_not_cancel_out(spark):
+    # each row twice: the two notes are on different pages, so they are no class
+    page = lambda i: f"<body><div>Shop</div><div>Story {i}</div>{'<p>Note A</p>' if i < 4 else ''}{'<p>Note B</p>' if i > 1 else ''}<div>All about us</div></body>"
+    got = extracted(spark, [(f"http://d.org/{i // 2}", page(i // 2)) for i in range(12)])
+    assert got == ["\n".join([f"Story {i // 2}"] + ["Note A"] * (i < 8) + ["Note B"] * (i > 3)) for i in range(12)]
