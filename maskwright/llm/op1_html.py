@@ -15,8 +15,8 @@ with a third of all pages is no hot group.
 
 Text below such a mark is counted apart, over the host's distinct articles and not
 over its pages, which may well be copies of one article. What is on enough of the
-articles and in a valid class is template there too, but never all of an article:
-if nothing else is left, it stays. An article that stands elsewhere than the template's, a
+articles and in a valid class is template there too, unless it is over three
+quarters of an article's text, as with near copies: then it stays. An article that stands elsewhere than the template's, a
 teaser say, only counts on a page that has none at the template's place or whose
 host has no template: such pages are read by their own marks. Elements for navigation,
 forms, notices, adverts and comments, by tag or by class name, are left out in any
@@ -229,6 +229,8 @@ def slots(blocks: list[tuple[str, str, bool, bool]], template: frozenset[int]) -
 def main_text(html: str | None, template: frozenset[int]) -> str:
     blocks, tags = parse(html or "")
     free, whole = slots(blocks, template), slots(blocks, frozenset())
+    if 4 * sum(len(t) for _, t, inside in free if inside) < sum(len(t) for _, t, inside in whole if inside):
+        free = [(p, t, inside) for p, t, inside in whole if inside or _token(p, t) not in template]
     if template:
         marks = article_marks(tags, template)
         for some in (free, whole):

@@ -58,3 +58,8 @@ def test_repeated_rows_do_not_cancel_out(spark):
     page = lambda i: f"<body><div>Shop</div><div>Story {i}</div>{'<p>Note A</p>' if i < 4 else ''}{'<p>Note B</p>' if i > 1 else ''}<div>All about us</div></body>"
     got = extracted(spark, [(f"http://d.org/{i // 2}", page(i // 2)) for i in range(12)])
     assert got == ["\n".join([f"Story {i // 2}"] + ["Note A"] * (i < 8) + ["Note B"] * (i > 3)) for i in range(12)]
+
+
+def test_near_copies_keep_what_they_share(spark):
+    page = lambda i: f"<body><div>Shop</div><article>{BODY}<p>Edition {i}</p></article><div>All about us</div></body>"
+    assert extracted(spark, [(f"http://e.org/{i}", page(i)) for i in range(6)]) == [f"{TEXT}\nEdition {i}" for i in range(6)]
