@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
         common.add_argument(f"--{name}", action="append")
     for name in ("max-bytes", "stream-threshold"):
         common.add_argument(f"--{name}", type=int)
-    common.add_argument("--no-progress", action="store_true")
+    common.add_argument("--no-progress", action="store_true", help="no bar on the terminal")
     common.add_argument("--llm", action="store_true", help="let a model flag what is left in the masked text")
     common.add_argument("--llm-provider", choices=sorted(flagging.ENDPOINTS))
     for name in ("llm-endpoint", "llm-model", "llm-key-env"):
@@ -51,9 +51,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def options(a: argparse.Namespace):
+    from .plans import progress
     from .plans.api import Options
 
-    o = Options(**{k: getattr(a, k) for k in ("config", "profile", "project", "entities", "enable", "disable", "include", "exclude", "max_bytes", "stream_threshold")}, emit_entities=getattr(a, "emit_entities", False))
+    o = Options(**{k: getattr(a, k) for k in ("config", "profile", "project", "entities", "enable", "disable", "include", "exclude", "max_bytes", "stream_threshold")}, emit_entities=getattr(a, "emit_entities", False), progress=None if a.no_progress else progress.bar())
     if a.llm:
         d = o.resolve().llm
         o.provider = flagging.Provider(
@@ -107,7 +108,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             if not Path(a.target).is_dir():
                 raise ValueError(f"target not a directory: {a.target}")
             out = api.verify(spark, a.target, options(a))
-            print(json.dumps({"clean": out["clean"], "leak_count": len(out["leaks"]), "leaks": out["leaks"][:50], "stray_sidecars": out["stray_sidecars"]}, indent=2))
+            print(json.dumps({"clean": out["clean"], "leak_count": out["leak_count"], "leaks": out["leaks"][:50], "stray_sidecars": out["stray_sidecars"]}, indent=2))
             return 0 if out["clean"] else 10
         elif a.cmd == "reverse":
             out = {"restored": api.run_reverse(spark, a.input, a.output, a.map), "output": a.output}

@@ -1,24 +1,28 @@
 """The alias dictionary as tables: numbering, counts, entities, supersession, legend.
 
 ``entries``: alias, ckey, counter, n, original, category, prefix, entity_id,
-count, files, superseded_by, supersedes. ``entities``: entity_id, label, type,
-pretty, notes, ord. Counters are never stored; they are ``max(n)`` per counter.
+count, superseded_by, supersedes. ``entities``: entity_id, label, type, pretty,
+notes, ord. ``sightings``: ckey, rel, ord, a row for each file that holds a key, as
+a common address is in all of them. Counters are never stored; they are ``max(n)``
+per counter.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.registry import classify
 from .scratch import written
-from .spans import compose, fold
 
 ENTRIES = (
     "alias string, ckey string, counter string, n long, original string, category string, prefix string, entity_id string, "
-    "count long, files array<string>, superseded_by string, supersedes array<string>"
+    "count long, superseded_by string, supersedes array<string>"
 )
+SIGHTINGS = "ckey string, rel string, ord long"
 ENTITIES = "entity_id string, label string, type string, pretty string, notes string, ord long"
 # Label prefixes of the known entity types.
 ENTITY_PREFIX = {"device": "DEV", "person": "USR", "site": "SITE", "service": "SVC"}
@@ -29,6 +33,10 @@ def empty_entries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ENTRIES)
 
 
+def empty_sightings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], SIGHTINGS)
+
+
 def empty_entities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ENTITIES)
 
@@ -68,12 +76,11 @@ def assign(occ: DataFrame, prior: DataFrame, entities: DataFrame) -> DataFrame:
     """
     place = F.struct("file_ord", "s", "value")
     per = occ.groupBy("ckey").agg(
-        F.min(place).alias("first"), F.count("*").alias("seen"), F.array_sort(F.collect_set(F.struct("file_ord", "rel"))).alias("at"),
-        F.min_by("category", place).alias("category"), F.any_value("prefix").alias("prefix"), F.any_value("entity_id").alias("entity_id"),
+        F.min(place).alias("first"), F.count("*").alias("seen"), F.min_by("category", place).alias("category"), F.any_value("prefix").alias("prefix"), F.any_value("entity_id").alias("entity_id")
     )
-    per = written(per.withColumn("met", F.array_distinct(F.filter(F.col("at")["rel"], lambda r: r.isNotNull()))).drop("at"), "per-key")
-    old = prior.join(per.select(F.col("ckey").alias("k"), "seen", "met"), F.col("ckey") == F.col("k"), "left")
-    old = old.withColumn("count", F.col("count") + F.coalesce("seen", F.lit(0))).withColumn("files", F.array_union("files", F.coalesce("met", F.expr("array()")))).drop("k", "seen", "met")
+    per = written(per, "per-key")
+    old = prior.join(per.select(F.col("ckey").alias("k"), "seen"), F.col("ckey") == F.col("k"), "left")
+    old = old.withColumn("count", F.col("count") + F.coalesce("seen", F.lit(0))).drop("k", "seen")
     new = per.join(prior.select(F.col("ckey").alias("k")), F.col("ckey") == F.col("k"), "left_anti")
     new = new.join(entities.select(F.col("entity_id").alias("eid"), "label"), F.col("entity_id") == F.col("eid"), "left")
     new = new.withColumn("counter", F.concat_ws(".", "label", "prefix")).withColumn("o", F.col("first.file_ord")).withColumn("p", F.col("first.s"))
@@ -82,11 +89,18 @@ def assign(occ: DataFrame, prior: DataFrame, entities: DataFrame) -> DataFrame:
     n = F.col("rank") + F.coalesce("top", F.lit(0))
     new = new.select(
         F.concat(F.lit("<"), "counter", F.lit("_"), n.cast("string"), F.lit(">")).alias("alias"), "ckey", "counter", n.alias("n"), F.col("first.value").alias("original"),
-        "category", "prefix", "entity_id", F.col("seen").alias("count"), F.col("met").alias("files"), F.lit(None).cast("string").alias("superseded_by"), F.expr("cast(array() as array<string>)").alias("supersedes"),
+        "category", "prefix", "entity_id", F.col("seen").alias("count"), F.lit(None).cast("string").alias("superseded_by"), F.expr("cast(array() as array<string>)").alias("supersedes"),
     )
     return old.unionByName(new)
 
 
+def sightings(occ: DataFrame, prior: DataFrame) -> DataFrame:
+    """``prior`` and the files in which ``occ`` has keys, behind it in file order."""
+    top = prior.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
+    now = occ.where("rel is not null").groupBy("ckey", "rel").agg((F.min("file_ord") + top).alias("ord"))
+    return prior.unionByName(now).groupBy("ckey", "rel").agg(F.min("ord").alias("ord"))
+
+
 def register_entities(spark: SparkSession, rows: list[dict], prior: DataFrame) -> DataFrame:
     """Labels in table order; known entities keep theirs and only blank names and notes are filled. An operator's table: small."""
     known = {r["entity_id"]: r.asDict() for r in prior.collect()}
@@ -105,10 +119,24 @@ def register_entities(spark: SparkSession, rows: list[dict], prior: DataFrame) -
     return spark.createDataFrame([tuple(e[c.split()[0]] for c in ENTITIES.split(", ")) for e in known.values()], ENTITIES)
 
 
+def classified(value: Column) -> Column:
+    """``classify`` as a column: a struct of category and prefix."""
+    def run(values: pa.Array) -> pa.Array:
+        got = [classify(v or "") for v in values.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], ["category", "prefix"])
+
+    return F.arrow_udf(run, "category string, prefix string").asNondeterministic()(value)
+
+
+def identifier_rows(spark: SparkSession, rows: list[dict], first: int = 0) -> DataFrame:
+    """(value, key, category, prefix, entity_id, ord) of the identifiers of an operator's table."""
+    ids = [(v, v.casefold(), *classify(v), r["id"]) for r in rows for v in r["identifiers"]]
+    return spark.createDataFrame([(*x, i + first) for i, x in enumerate(ids)], "value string, key string, category string, prefix string, entity_id string, ord long")
+
+
 def link_entities(identifiers: DataFrame, prior: DataFrame, entities: DataFrame) -> DataFrame:
-    """Reserve an alias for each identifier (value, category, prefix, entity_id, ord) and mark plain aliases of the same value as superseded."""
-    ids = identifiers.withColumn("key", fold(F.col("value")))
-    ids = ids.withColumn("ckey", compose(F.col("category"), F.col("prefix"), F.col("key"), F.col("entity_id")))
+    """Reserve an alias for each identifier (see ``identifier_rows``) and mark plain aliases of the same value as superseded."""
+    ids = identifiers.withColumn("ckey", F.concat_ws("\0", F.lit("E"), "entity_id", "prefix", "key"))
     occ = ids.select("ckey", F.col("ord").alias("file_ord"), F.lit(None).cast("string").alias("rel"), F.lit(0).alias("s"), "value", "category", "prefix", "entity_id")
     fresh = occ.join(prior.select(F.col("ckey").alias("k")), F.col("ckey") == F.col("k"), "left_anti")
     after = written(assign(fresh, prior, entities), "linked")

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import line_number, with_spans
+from .spans import with_spans
 
 # Files that must not be in a masked tree.
 SIDECARS = ("decode.json", "report.json", "report.html", "scan_report.json", "scan_report.html")
 
 
 def leaks(docs: DataFrame, detectors, allow=frozenset(), first_line: str | None = None) -> DataFrame:
-    """(file, category, line) of every span left; no alias map is needed. ``first_line`` names a column to add for pieces of a file."""
+    """(file, category, line, start) of every span left; no alias map is needed. ``first_line`` names a column to add for pieces of a file."""
     found = with_spans(docs.where("text is not null"), detectors, "text", allow)
-    category = F.element_at(F.array(*(F.lit(d.category) for d in detectors)), F.col("x.det") + 1)
     add = F.col(first_line) if first_line else F.lit(0)
-    return found.select(F.col("rel").alias("file"), "text", add.alias("add"), F.explode_outer("spans").alias("x")).where("x is not null").select("file", category.alias("category"), (line_number(F.col("text"), F.col("x.s")) + F.col("add")).alias("line"), F.col("x.s").alias("start"))
+    return found.select(F.col("rel").alias("file"), add.alias("add"), F.explode("spans").alias("x")).select("file", F.col("x.category").alias("category"), (F.col("x.line") + F.col("add")).alias("line"), F.col("x.s").alias("start"))
 
 
 def stray(files: DataFrame) -> DataFrame:

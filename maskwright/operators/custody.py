@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,14 +26,52 @@ def manifest_rows(stats: DataFrame, written: DataFrame, stamp: str) -> DataFrame
 
 
 def run_digest(records: DataFrame) -> DataFrame:
-    """One row: SHA-256 over file, source hash and output hash of all files by name. The list of names and hashes must fit one task."""
-    part = F.struct("file", F.concat("file", F.lit("\0"), "source_sha256", F.lit("\0"), "output_sha256", F.lit("\0")).alias("line"))
-    return records.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["line"]), ""), 256).alias("run_digest"), F.count("*").alias("file_count"))
+    """One row: SHA-256 over file, source hash and output hash of all files by name.
 
+    A hash is one stream, so one task takes the sorted names and hashes; it holds no more than a batch of them.
+    """
 
-def write_json(data, path: Path) -> None:
+    def run(batches):
+        sha, n = hashlib.sha256(), 0
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                sha.update("".join(f"{x}\0" for x in row).encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()]), pa.array([n], pa.int64())], ["run_digest", "file_count"])
+
+    return records.select("file", "source_sha256", "output_sha256").repartition(1).sortWithinPartitions("file").mapInArrow(run, "run_digest string, file_count long")
+
+
+def _json(f, value) -> None:
+    """``value``; an iterator is written as it comes, of pairs as an object and of others as a list."""
+    text = lambda x: json.dumps(x, ensure_ascii=False, indent=1)
+    if not isinstance(value, Iterator):
+        f.write(text(value))
+        return
+    first = next(value, None)
+    pairs = first is None or isinstance(first, tuple)
+    f.write("{" if pairs else "[")
+    for i, x in enumerate(chain([first] if first is not None else [], value)):
+        f.write(",\n" if i else "\n")
+        if pairs:
+            f.write(f"{text(x[0])}: ")
+        _json(f, x[1] if pairs else x)
+    f.write("\n}" if pairs else "\n]")
+
+
+def write_json(data: dict | Iterator, path: Path, mode: int = 0o644) -> None:
+    """``data``, or what an iterator among its values yields, row by row. The file appears when it is whole."""
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(data, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    tmp = path.with_name(path.name + ".part")
+    with os.fdopen(os.open(tmp, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, mode), "w", encoding="utf-8") as f:
+        _json(f, iter(data.items()) if isinstance(data, dict) else data)
+        f.write("\n")
+    os.replace(tmp, path)
+
+
+def rows_of(df: DataFrame) -> Iterator[dict]:
+    """Rows one partition at a time."""
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
 
 def append_log(manifest: dict, path: Path) -> None:

@@ -1,68 +1,130 @@
-"""Replacing spans by joined values: pseudonymise, reverse, reconcile, canonical closure."""
+"""Replacing spans by mapped values: pseudonymise, reverse, reconcile, canonical closure.
+
+A row is rewritten from its own places, so that rows need no key and texts are not
+shuffled. The mapping goes to the tasks as a table while it has at most
+``MAP_BYTES``. Beyond that each row's distinct keys are joined with it, salted, and
+come back to the row by a number that a written copy of the table holds; then texts
+are shuffled once.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
 
 TOKEN = r"<[A-Z0-9_]+(?:\.[A-Z0-9_]+)?_[0-9]+>"
-MAP_ROWS = 200_000
+MAP_BYTES, ENTRY_BYTES, SALT = 32 << 20, 160, 8
+PLACES = "array<struct<s:int,e:int,mk:string>>"
 
 
-def sized(mapping: DataFrame) -> DataFrame:
-    """A broadcast hint while the written table is at most ``MAP_ROWS`` rows; else Spark joins by shuffle."""
-    return F.broadcast(mapping) if mapping.count() <= MAP_ROWS else mapping
+def table_of(mapping: DataFrame) -> dict | None:
+    """(mk, new) of a written table, or nothing if it is over ``MAP_BYTES``."""
+    size = mapping.agg(F.coalesce(F.sum(F.octet_length("mk") + F.octet_length("new") + ENTRY_BYTES), F.lit(0))).first()[0]
+    return None if size > MAP_BYTES else {r["mk"]: r["new"] for r in mapping.collect()}
 
 
-def rebuilt(text: Column, parts: Column) -> Column:
-    """``text`` with each (s, e, new) of the sorted array put in place."""
-    def step(a: Column, x: Column) -> Column:
-        return F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["s"] - a["at"]), x["new"])).alias("out"))
+def put(text: str, places, table) -> tuple[str, int]:
+    """``text`` with each (start, end, key) whose key is in ``table`` replaced, and how many were."""
+    out, at, n = [], 0, 0
+    for start, end, key in places:
+        new = table.get(key)
+        if new is not None:
+            out += (text[at:start], new)
+            at, n = end, n + 1
+    return ("".join(out) + text[at:], n) if n else (text, 0)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    return F.aggregate(parts, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
 
+def put_tokens(text: str, table) -> tuple[str, int]:
+    """``text`` with each alias token that is in ``table`` replaced."""
+    if "<" not in text:
+        return text, 0
+    n = 0
 
-def substitute(docs: DataFrame, spans: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``replacements`` counted.
+    def new(m: re.Match) -> str:
+        nonlocal n
+        got = table.get(m[0])
+        n += got is not None
+        return m[0] if got is None else got
 
-    ``spans`` has ``keys``, s, e and mk; ``mapping`` has mk and new. Spans without
-    a mapping stay. Only places travel in the joins, not texts, until the last.
-    """
-    hit = spans.join(sized(mapping.withColumnRenamed("mk", "mk2")), F.col("mk") == F.col("mk2"))
-    per = hit.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e", "new"))).alias("_parts"))
-    out = docs.join(per, keys, "left")
-    return out.withColumn("replacements", F.coalesce(F.size("_parts"), F.lit(0)).cast("long")).withColumn(
-        text, F.when(F.col("_parts").isNotNull(), rebuilt(F.col(text), F.col("_parts"))).otherwise(F.col(text))
-    ).drop("_parts")
+    return re.sub(TOKEN, new, text), n
 
 
-def pseudonymise(docs: DataFrame, occ: DataFrame, entries: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return substitute(docs, occ.select(*keys, "s", "e", F.col("ckey").alias("mk")), entries.select(F.col("ckey").alias("mk"), F.col("alias").alias("new")), keys, text)
+def _result(pairs: list[tuple]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], ["text", "n"])
 
 
-def alias_tokens(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Places of all alias-shaped tokens."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    whole = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))
-    parts = F.arrays_zip(F.transform(F.split(t, TOKEN, -1), F.length).alias("gap"), whole.alias("token"))
+def _triples(column: pa.ListArray) -> list[list[tuple]]:
+    ends, flat = column.offsets.to_pylist(), column.values
+    items = list(zip(*(flat.field(k).to_pylist() for k in range(3))))
+    return [items[a:b] for a, b in zip(ends, ends[1:])]
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        end = start + F.coalesce(F.length(x["token"]), F.lit(0))
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["token"].alias("mk")))
-        return F.struct(end.alias("at"), F.when(x["token"].isNotNull(), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    none = F.expr("cast(array() as array<struct<s:int,e:int,mk:string>>)")
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return docs.select(*keys, F.explode_outer(F.when(t.contains("<"), found)).alias("x")).where("x is not null").select(*keys, "x.s", "x.e", "x.mk")
+def _own(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex[:8]}"
 
 
-def reverse(docs: DataFrame, entries: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def substitute(docs: DataFrame, mapping: DataFrame, text: str = "text", places: Column | None = None) -> DataFrame:
+    """``docs`` with ``text`` rewritten and ``replacements`` counted; a null text stays null.
+
+    ``places`` is an array of (s, e, mk) by start, or nothing for all alias tokens;
+    ``mapping`` has mk and new. Keys without a mapping stay.
+    """
+    spark = docs.sparkSession
+    mapping = written(mapping.select("mk", "new"), "mapping")
+    table = table_of(mapping)
+    both, spots, rid, of, pairs = map(_own, ("both", "spots", "rid", "of", "pairs"))
+    if places is not None:
+        docs = docs.withColumn(spots, F.coalesce(places.cast(PLACES), F.expr(f"cast(array() as {PLACES})")))
+    if table is not None:
+        shared = spark.sparkContext.broadcast(table)
+
+        def by_places(texts: pa.Array, at: pa.Array) -> pa.Array:
+            return _result([(t, 0) if t is None else put(t, p, shared.value) for t, p in zip(texts.to_pylist(), _triples(at))])
+
+        def by_tokens(texts: pa.Array) -> pa.Array:
+            return _result([(t, 0) if t is None else put_tokens(t, shared.value) for t in texts.to_pylist()])
+
+        kernel = F.arrow_udf(by_tokens, "text string, n bigint")(text) if places is None else F.arrow_udf(by_places, "text string, n bigint")(text, spots)
+    else:
+        docs = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+        keys = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)) if places is None else F.col(f"{spots}.mk")
+        wanted = docs.select(rid, F.explode(F.array_distinct(keys)).alias("k")).withColumn("salt", F.pmod(F.xxhash64(rid), F.lit(SALT)))
+        spare = mapping.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        per = wanted.join(spare, (F.col("k") == F.col("mk")) & (F.col("salt") == F.col("part"))).groupBy(F.col(rid).alias(of)).agg(F.map_from_entries(F.collect_list(F.struct("mk", "new"))).alias(pairs))
+        docs = docs.join(per, F.col(rid) == F.col(of), "left").drop(of, rid)
+
+        def by_row(texts: pa.Array, own: pa.Array, *at: pa.Array) -> pa.Array:
+            rows = zip(texts.to_pylist(), own.to_pylist(), _triples(at[0]) if at else [None] * len(texts))
+            return _result([(t, 0) if t is None else put_tokens(t, dict(m or ())) if p is None else put(t, p, dict(m or ())) for t, m, p in rows])
+
+        if places is None:
+            kernel = F.arrow_udf(lambda t, m: by_row(t, m), "text string, n bigint")(text, pairs)
+        else:
+            kernel = F.arrow_udf(lambda t, m, p: by_row(t, m, p), "text string, n bigint")(text, pairs, spots)
+    out = docs.withColumn(both, kernel)
+    return out.withColumn(text, F.col(f"{both}.text")).withColumn("replacements", F.col(f"{both}.n")).drop(both, spots, pairs)
+
+
+def pseudonymise(docs: DataFrame, entries: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """Spans, as ``with_spans`` found them in the same row, to their aliases."""
+    places = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["ckey"].alias("mk")))
+    return substitute(docs, entries.select(F.col("ckey").alias("mk"), F.col("alias").alias("new")), text, places).drop(spans)
+
+
+def alias_shaped(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows whose source already holds what looks like an alias: reversing would put foreign originals there."""
+    return docs.where(F.col(text).rlike(TOKEN))
+
+
+def reverse(docs: DataFrame, entries: DataFrame, text: str = "text") -> DataFrame:
     """Aliases back to their originals; unknown tokens stay. ``replacements`` counts what was restored."""
-    return substitute(docs, alias_tokens(docs, keys, text), entries.select(F.col("alias").alias("mk"), F.col("original").alias("new")), keys, text)
+    return substitute(docs, entries.select(F.col("alias").alias("mk"), F.col("original").alias("new")).where("new is not null"), text)
 
 
 def canonical(entries: DataFrame) -> DataFrame:
@@ -86,6 +148,6 @@ def canonical(entries: DataFrame) -> DataFrame:
     return live.where("alias <> at").select("alias", F.col("at").alias("terminal"))
 
 
-def reconcile(docs: DataFrame, closure: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def reconcile(docs: DataFrame, closure: DataFrame, text: str = "text") -> DataFrame:
     """Superseded aliases to their terminals."""
-    return substitute(docs, alias_tokens(docs, keys, text), closure.select(F.col("alias").alias("mk"), F.col("terminal").alias("new")), keys, text)
+    return substitute(docs, closure.select(F.col("alias").alias("mk"), F.col("terminal").alias("new")), text)

@@ -35,12 +35,13 @@ class Sink:
         return aliases.empty_entries(self.spark)
 
     def __call__(self, batch: DataFrame, n: int) -> None:
+        """Rows are rewritten from their own spans, so the key may be null or repeated; it only orders what is numbered."""
         docs = written(with_spans(batch.select(F.col(self.key), "text"), self.detectors, "text", self.allow), "batch")
-        occ = occurrences(docs, self.detectors, [self.key]).withColumn("file_ord", F.col(self.key)).withColumn("rel", F.col(self.key).cast("string"))
+        occ = occurrences(docs, [self.key]).withColumn("file_ord", F.col(self.key)).withColumn("rel", F.col(self.key).cast("string"))
         entries = aliases.assign(occ, self.dictionary(n), aliases.empty_entities(self.spark))
         entries.write.mode("overwrite").parquet(f"{self.root}/entries/batch={n}")
         entries = self.spark.read.schema(aliases.ENTRIES).parquet(f"{self.root}/entries/batch={n}")
-        rewrite.pseudonymise(docs.drop("spans"), occ, entries, [self.key]).write.mode("overwrite").parquet(f"{self.root}/masked/batch={n}")
+        rewrite.pseudonymise(docs, entries).write.mode("overwrite").parquet(f"{self.root}/masked/batch={n}")
 
 
 def run_available(stream: DataFrame, sink: Sink) -> None:
@@ -52,5 +53,4 @@ def run_available(stream: DataFrame, sink: Sink) -> None:
 def hits_per_window(stream: DataFrame, detectors, size: str = "1 hour", late: str = "10 minutes", time: str = "ts", text: str = "text") -> DataFrame:
     """Values found per category and event-time window, for streams that carry a time."""
     found = with_spans(stream.withWatermark(time, late), detectors, text)
-    category = F.element_at(F.array(*(F.lit(d.category) for d in detectors)), F.col("x.det") + 1)
-    return found.select(time, F.explode("spans").alias("x")).select(time, category.alias("category")).groupBy(F.window(time, size), "category").count()
+    return found.select(time, F.explode("spans.category").alias("category")).groupBy(F.window(time, size), "category").count()

@@ -27,12 +27,3 @@ def test_query(spark, db, name):
     assert sorted(names) == cols
     want = sorted((tuple(row[names.index(c)] for c in cols) for row in result.fetchall()), key=repr)
     assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == want
-
-
-def test_ranged_numbering_is_window_numbering(spark, monkeypatch):
-    from maskwright.operators import aliases
-
-    df = spark.range(1000).selectExpr("'g' || id % 2 g", "id * 37 % 1000 o")
-    want = sorted(tuple(r) for r in aliases.numbered(df, "g", ["o"]).collect())
-    monkeypatch.setattr(aliases, "WINDOW_ROWS", 10)
-    assert sorted(tuple(r[c] for c in ("g", "o", "rank")) for r in aliases.numbered(df, "g", ["o"]).collect()) == want

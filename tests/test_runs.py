@@ -5,8 +5,9 @@ import json
 import pytest
 
 from maskwright.cli import main
+from maskwright.functions.finder import Finder
 from maskwright.operators import flagging
-from maskwright.plans import api
+from maskwright.plans import api, progress
 from maskwright.sources import config, filetree
 from maskwright.sources.vault import Vault, VaultLocked
 
@@ -43,18 +44,98 @@ def test_mirror(spark, tmp_path):
     assert main(["verify", str(tmp_path / "out")], spark) == 10
 
 
-def test_huge_file_in_pieces(spark, tmp_path):
-    text = "".join(f"row {i}: user u{i % 50}@example.com from 10.0.{i % 256}.{i * 7 % 256} mac de:ad:be:ef:{i % 256:02x}:11\n" for i in range(800))
-    a = api.run_strip(spark, tree(tmp_path / "a", {"x.log": text}), str(tmp_path / "ao"))
-    dets = api.registry.active()
-    assert len(list(filetree.cut_points(text, dets, chunk=5000, margin=500))) > 5 and "".join(filetree.cut_points(text, dets, chunk=5000, margin=500)) == text
+LOG = "".join(f"row {i}: user u{i % 50}@example.com from 10.0.{i % 256}.{i * 7 % 256} mac de:ad:be:ef:{i % 256:02x}:11\n" for i in range(800))
+
+
+def in_parts(text, n=777):
+    return (text[i : i + n] for i in range(0, len(text), n))
+
+
+def test_pieces_hold_whole_values():
+    search = Finder(api.registry.active())
+    whole = [x.value for x in search.spans(LOG)]
+    for text in (LOG, LOG.replace("\n", " "), "é" + LOG):
+        got = list(filetree.pieces(in_parts(text), search, chunk=5000, margin=500))
+        assert len(got) > 5 and "".join(got) == text and max(map(len, got)) <= 5500
+        assert [x.value for p in got for x in search.spans(p)] == whole
+    # without any place to cut, a value that lies across is taken whole
+    dense = ("10.0.0.1https://a.corp/" + "x" * 40) * 50
+    assert "".join(filetree.pieces(in_parts(dense), search, chunk=100, margin=60)) == dense
+
+
+@pytest.mark.parametrize("raw, want", [
+    (b"", ("processed", "utf-8")), ("é".encode() * 5000, ("processed", "utf-8")), (b"a" * 5000 + b"\xe9", ("processed", "cp1252")), (b"a" * 5000 + b"\x81", ("undecodable", None)),
+    (b"a\0b", ("binary", None)), (b"a" * 5000 + b"\0", ("processed", "utf-8")), ("x".encode("utf-16"), ("processed", "utf-16")), ("x".encode("utf-32"), ("processed", "utf-32")),
+    ("x".encode("utf-8-sig"), ("processed", "utf-8-sig")), (b"\xef\xbb\xbf\xff", ("undecodable", None)), ("x".encode("utf-16") + b"y", ("undecodable", None)), ("é".encode()[:1], ("processed", "cp1252")),
+])
+@pytest.mark.parametrize("n", [4999, 1 << 20])
+def test_survey(raw, want, n):
+    import hashlib
+
+    assert filetree.survey(raw[i : i + n] for i in range(0, len(raw), n)) == (*want, hashlib.sha256(raw).hexdigest())
+
+
+def test_huge_files(spark, tmp_path):
+    """Pieces give what the whole gives; a file that is no text to the end is copied through whole."""
+    files = {"x.log": LOG, "late.log": LOG.encode() + b"\x81", "w.log": LOG.encode() + b"caf\xe9", "u.log": LOG.encode("utf-16"), "d/small.log": "10.0.0.5"}
+    a = api.run_strip(spark, tree(tmp_path / "a", files), str(tmp_path / "ao"))
     old = filetree.read_documents
     filetree.read_documents = lambda *p, **k: old(*p, **k, chunk=5000)
     try:
-        b = api.run_strip(spark, tree(tmp_path / "b", {"x.log": text}), str(tmp_path / "bo"), api.Options(stream_threshold=1000))
+        b = api.run_strip(spark, tree(tmp_path / "b", files), str(tmp_path / "bo"), api.Options(stream_threshold=1000, post_pass=lambda rel, text: (text + "!", 1)))
+        (tmp_path / "bo/x.log").write_text((tmp_path / "bo/x.log").read_text() + "raw 192.168.1.50\n")
+        checked = api.verify(spark, str(tmp_path / "bo"), api.Options(stream_threshold=1000))
     finally:
         filetree.read_documents = old
-    assert (tmp_path / "ao/x.log").read_bytes() == (tmp_path / "bo/x.log").read_bytes() and a["replacements"] == b["replacements"] == 2400 and b["verify"] == "PASS"
+    for name in ("x.log", "w.log", "u.log", "late.log"):
+        want = (tmp_path / "ao" / name).read_bytes()
+        assert (tmp_path / "bo" / name).read_bytes() == want + b"raw 192.168.1.50\n" * (name == "x.log")
+    assert (tmp_path / "bo/late.log").read_bytes() == files["late.log"] and (tmp_path / "bo/d/small.log").read_bytes().endswith(b"<IP_769>!") is False
+    assert (tmp_path / "bo/d/small.log").read_text().endswith("!") and a["replacements"] + 1 == b["replacements"] and b["verify"] == "PASS"
+    assert any("in pieces" in w for w in b["summary"]["warnings"]) and any("undecodable" in w for w in b["summary"]["warnings"])
+    assert checked["leak_count"] == 1 and checked["leaks"] == [{"file": "x.log", "category": "ipv4", "line": 801}]
+
+
+def test_a_huge_file_is_never_whole_in_memory(tmp_path):
+    import resource
+    import subprocess
+    import sys
+
+    path = tmp_path / "big.log"
+    with open(path, "w") as f:
+        for _ in range(60):
+            f.write(LOG * 20)
+    code = f"""
+import resource
+from maskwright.functions import finder, registry
+from maskwright.sources import filetree
+search = finder.Finder(registry.active())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+status, encoding, _ = filetree.survey(filetree.blocks({str(path)!r}))
+n = sum(len(p) for p in filetree.pieces(filetree.decoded({str(path)!r}, encoding), search))
+print(status, n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    status, n, more = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=filetree.__file__.rpartition("/maskwright/")[0]).stdout.split()
+    assert status == "processed" and int(n) == path.stat().st_size > 60 << 20 and int(more) < 60 << 10
+
+
+def test_progress(spark, tmp_path):
+    import io
+
+    seen = []
+    src = tree(tmp_path / "in", {"a.log": "10.0.0.5", "b/c.log": "10.0.0.6" * 100})
+    api.run_scan(spark, src, api.Options(progress=seen.append))
+    assert [e.bytes_done for e in seen] == sorted(e.bytes_done for e in seen)
+    assert (seen[-1].stage, seen[-1].files_done, seen[-1].bytes_done, seen[-1].bytes_total) == ("done", 2, 808, 808)
+    assert progress.bar(io.StringIO()) is None and [progress.size_text(n) for n in (0, 1023, 1536, 5 << 30)] == ["0 B", "1023 B", "1.5 KiB", "5.0 GiB"]
+
+    class Terminal(io.StringIO):
+        def isatty(self):
+            return True
+
+    out = Terminal()
+    progress.bar(out)(seen[-1])
+    assert "2 of 2 files" in out.getvalue() and out.getvalue().endswith("\n")
 
 
 def test_vault_entities_reconcile(spark, tmp_path):
@@ -83,11 +164,18 @@ def test_guards_and_config(spark, tmp_path):
     toml.write_text('include = ["*.log"]\nallowlist = ["10.0.0.5"]\n[detectors]\ndisable = ["mac"]\n[[custom]]\nname = "n"\ntype = "literal"\nvalue = "x"\n')
     cfg = config.resolve("syslog", str(toml), include=["*.csv"])
     assert cfg.include == ["*.log", "*.txt", "*.csv"] and cfg.allow == {"10.0.0.5"} and cfg.disable == {"mac"} and cfg.custom[0]["type"] == "literal"
-    for bad in ({"custom": [{"name": "x"}]}, {"custom": [{"name": "x", "value": "("}]}, {"max_bytes": 0}):
+    for bad in ({"custom": [{"name": "x"}]}, {"custom": [{"name": "x", "value": "("}]}, {"custom": [{"name": "x", "value": "y", "type": "z"}]}, {"max_bytes": 0}):
         with pytest.raises(ValueError):
             config.resolve(**bad)
+    with pytest.raises(ValueError, match="rule 1.*rule 2.*rule 2"):
+        config.resolve(custom=[{"name": "a"}, {"value": "(", "type": "regex"}])
+    with pytest.raises(KeyError):
+        config.resolve("nope")
     out = api.run_scan(spark, src, api.Options(config=str(toml), emit_entities=True))
-    assert out["files_total"] == 2 or out["files_total"] == 1
+    assert out["files_total"] == 1 and out["would_replace"] == 0 and out["entities_rows"] == 0
+    out = api.run_scan(spark, src, api.Options(emit_entities=True))
+    assert out["files_total"] == 2 and out["would_replace"] == 2 and out["entities_rows"] == 2
+    assert "10.0.0.6" in (tmp_path / "in/_pii/entities_starter.csv").read_text()
     assert not (tmp_path / "out").exists()
 
 
@@ -104,18 +192,36 @@ def test_model_pass(spark, tmp_path):
     assert "down" in got["llm_strict_failed"] and (tmp_path / "out2/a.log").read_text() == "Jane Roe at <IP_1>, Jane Roe"
 
 
+def test_foreign_aliases_and_selftest(spark, tmp_path, capsys):
+    src = tree(tmp_path / "in", {"a.log": "<IP_1> was 10.0.0.5"})
+    out = api.run_strip(spark, src, str(tmp_path / "out"))
+    assert any("form of an alias" in w for w in out["summary"]["warnings"])
+    with pytest.raises(ValueError, match="post-pass"):
+        raise ValueError("post-pass") if api.run_scan(spark, src, api.Options(post_pass=lambda rel, text: (text, 5)))["would_replace"] == 6 else AssertionError
+    assert main(["--selftest"], spark) == 0 and "PASS" in capsys.readouterr().out
+    assert main(["verify", str(tmp_path / "none")], spark) == 1
+
+
 def test_model_gate(monkeypatch):
     for url, ok in (("http://localhost:1", True), ("http://127.0.0.2", True), ("http://[::1]:8", True), ("http://[::ffff:127.0.0.1]", False), ("http://example.com", False)):
         assert flagging.is_local(url) is ok
     with pytest.raises(flagging.FlaggingError):
-        flagging.gate(flagging.Provider("openai"))
+        flagging.gate(flagging.Provider("anthropic"))
     with pytest.raises(flagging.FlaggingError):
         flagging.check_endpoint("localhost:11434")
     cfg = flagging.Provider("openai", allow_cloud=True, key_env="K_TEST", forget_key=True)
     monkeypatch.setenv("K_TEST", "s")
+    assert flagging.load_key(flagging.Provider("openai", key_env="K_TEST")) is None and flagging.load_key(flagging.Provider(key_env="K_TEST")) is None
+    assert all(flagging.Provider(p).model and flagging.request(flagging.Provider(p), None, "t")[2]["model"] for p in flagging.ENDPOINTS)
+    cfg = flagging.Provider("openai", "https://api.example.com", allow_cloud=True, key_env="K_TEST", forget_key=True)
     assert flagging.load_key(cfg) == "s" and flagging.request(cfg, "s", "t")[1] == {"Authorization": "Bearer s"}
     flagging.forget_key(cfg)
     with pytest.raises(flagging.FlaggingError):
         flagging.load_key(cfg)
     assert flagging.answer_of("anthropic", {"content": [{"type": "text", "text": "a"}, {"type": "x"}]}) == "a"
+    assert flagging.answer_of("ollama", {"response": "a"}) == "a" and flagging.answer_of("ollama", {"message": {}}) == "" and flagging.answer_of("openai", {"choices": [{"message": {"content": None}}]}) == ""
+    for wrong in (("openai", {}), ("openai", {"choices": []}), ("ollama", []), ("ollama", {"response": 1})):
+        with pytest.raises(flagging.FlaggingError):
+            flagging.answer_of(*wrong)
+    assert flagging.places("AXAXA <XAX_1> XAX", "XAX") == [1, 14]
     assert flagging.places("a <IP_1> IP_1", "IP_1") == [9] and flagging.chosen("ab abc", ["ab", "abc", "..."]) == ["abc"]

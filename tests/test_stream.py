@@ -1,10 +1,12 @@
-"""stream_vault_batches, its sink and documents_spans against plain Python."""
+"""The stream's sink and documents_spans against plain Python."""
 
 from pyspark.sql import functions as F
 
-from maskwright.functions import pyspans, registry
+from maskwright.functions import registry
 from maskwright.plans.catalog import QUERIES
-from maskwright.streaming.incremental import Sink
+from maskwright.streaming.incremental import Sink, hits_per_window
+
+from . import plain
 
 SF = "/root/testdata/sf0.001"
 DETS = registry.active()
@@ -12,9 +14,8 @@ DETS = registry.active()
 
 def found(text):
     """(start, end, category, prefix, key) of each value."""
-    for c in pyspans.spans(text or "", DETS):
-        d = DETS[c[3]]
-        yield c[2], c[4], (d.category, d.prefix, c[5].casefold() if d.fold else c[5])
+    for s, e, value, d in plain.spans(text, DETS):
+        yield s, e, (d.category, d.prefix, value.casefold() if d.fold else value)
 
 
 def numbered(batches):
@@ -47,11 +48,6 @@ def documents(spark):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
 
 
-def test_stream_vault_batches(spark):
-    got = sorted(tuple(r[c] for c in ("alias", "category", "count")) for r in QUERIES["stream_vault_batches"](spark, SF).collect())
-    assert got and got == dictionary([documents(spark)])
-
-
 def test_sink_over_batches_and_a_replay(spark, tmp_path):
     docs = documents(spark)
     parts = [[x for x in docs if x[0] % 3 == k] for k in (2, 0, 1)]
@@ -68,4 +64,30 @@ def test_sink_over_batches_and_a_replay(spark, tmp_path):
 
 def test_documents_spans(spark):
     got = sorted(tuple(r[c] for c in ("doc_id", "s", "e", "category")) for r in QUERIES["documents_spans"](spark, SF).select("doc_id", F.col("s").cast("long"), F.col("e").cast("long"), "category").collect())
-    assert got == sorted((d, c[2], c[4], DETS[c[3]].category) for d, t in documents(spark) for c in pyspans.spans(t or "", DETS))
+    assert got == sorted((d, s, e, k[0]) for d, t in documents(spark) for s, e, k in found(t))
+
+
+def test_tokenize_documents(spark):
+    docs = documents(spark)
+    alias, _ = numbered([docs])
+    got = {r.doc_id: (r.text, r.replacements) for r in QUERIES["tokenize_documents"](spark, SF).collect()}
+    assert got == {d: (masked(t, alias) if t is not None else None, len(list(found(t)))) for d, t in docs}
+
+
+def test_rows_without_or_with_the_same_key(spark, tmp_path):
+    rows = [(None, "mail jane@example.com"), (None, None), (1, "ip 10.0.0.1"), (1, "ip 10.0.0.2")]
+    sink = Sink(spark, f"file://{tmp_path}", DETS)
+    sink(spark.createDataFrame(rows, "doc_id long, text string"), 0)
+    got = [(r.doc_id, r.text) for r in spark.read.parquet(f"file://{tmp_path}/masked/batch=0").collect()]
+    assert sorted(got, key=str) == sorted([(None, "mail <EMAIL_1>"), (None, None), (1, "ip <IP_1>"), (1, "ip <IP_2>")], key=str)
+
+
+def test_hits_per_window(spark, tmp_path):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1, 10, 5)
+    spark.createDataFrame([(at, "10.0.0.1 10.0.0.2"), (at + datetime.timedelta(hours=5), "x")], "ts timestamp, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, text string").parquet(f"{tmp_path}/in")
+    q = hits_per_window(stream, DETS).writeStream.format("memory").queryName("hits").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["category"], r["count"]) for r in spark.table("hits").collect()] == [("ipv4", 2)]
