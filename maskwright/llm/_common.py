@@ -1,39 +1,83 @@
-"""Shared plumbing of the corpus operators: scratch tables and word hashing."""
+"""Shared plumbing of the corpus operators: scratch tables and files, slices of batches, word hashing."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.scratch import shared_dir, spread
+
 # Python's bytes.split() and the class [^\x20\x09-\x0D]+ agree: both cut at
 # the six ASCII white-space characters only.
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MULT_B = np.uint64(0xD6E8FEB86659FD93)
-BATCH_ROWS = 1_000
+SLICE_ROWS, OPEN_FILES, RANGE_BYTES = 256, 16, 16 << 20
+
+
+def sliced(batches):
+    """Arrow batches, which Spark bounds by bytes, in slices of few rows: what Python makes of them is freed slice by slice."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(i, SLICE_ROWS)
+
+
+def own_name(stem: str, names: list[str]) -> str:
+    """A column name that is not among ``names``, however they are written."""
+    taken, name = {n.lower() for n in names}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def open_file(uri: str):
+    """(file system, path) of a file in the shared folder, for readers and writers of single bytes."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
+
+
+class Appender:
+    """A new file below ``folder``, made with the first bytes; named by chance, so that a repeated task writes another one."""
+
+    def __init__(self, folder: str, suffix: str):
+        self.uri, self.out, self.at = f"{folder}/{uuid.uuid4().hex}{suffix}", None, 0
 
+    @property
+    def name(self) -> str:
+        return self.uri.rpartition("/")[2]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    made = getattr(spark, "_maskwright_scratch", None)
-    if made is None:
-        made = spark._maskwright_scratch = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        spark.sparkContext.setCheckpointDir(made)
-    return made
+    def add(self, data: bytes) -> int:
+        """Where ``data`` begins."""
+        if self.out is None:
+            fs, path = open_file(self.uri)
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            self.out = fs.open_output_stream(path, compression=None)
+        self.out.write(data)
+        self.at += len(data)
+        return self.at - len(data)
 
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Texts differ in length a thousandfold: Arrow batches of few rows bound what JVM and Python worker hold at once."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+
+class Ranges:
+    """Byte ranges of files below ``folder``; few files are open at a time."""
+
+    def __init__(self, folder: str):
+        self.folder, self.streams = folder, {}
+
+    def read(self, file: str, at: int, size: int) -> bytes:
+        if file not in self.streams:
+            if len(self.streams) >= OPEN_FILES:
+                self.streams.pop(next(iter(self.streams))).close()
+            fs, path = open_file(f"{self.folder}/{file}")
+            self.streams[file] = fs.open_input_file(path)
+        return self.streams[file].read_at(size, at)
 
 
 class Scratch:
@@ -71,6 +115,14 @@ def small_side(df: DataFrame, limit_rows: int):
     return F.broadcast(df) if df.count() <= limit_rows else df
 
 
+def dealt(places: DataFrame, *keys: str) -> DataFrame:
+    """Rows that name byte ranges (``size``), dealt out by ``keys``: a task for ``RANGE_BYTES`` each, since Spark, which sees the names only, would make one of all."""
+    from pyspark.sql import functions as F
+
+    total = places.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return places.repartition(1 + total // RANGE_BYTES, *keys)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
@@ -104,3 +156,6 @@ def gram_hashes(h: np.ndarray, k: int, base: np.uint64 = MULT) -> np.ndarray:
             acc += h[j : j + n] * p
             p = p * base
     return mix(acc)
+
+
+__all__ = ["Appender", "MULT", "MULT_B", "Ranges", "Scratch", "dealt", "gram_hashes", "mix", "open_file", "own_name", "powers", "sliced", "small_side", "spread", "word_hashes"]

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small_batches, small_side
+from ._common import Scratch, sliced, small_side, spread
 
 LEAST_PAGES, LEAST_SHARE, LEAST_CLASS, BROADCAST_ROWS = 4, 0.5, 2, 20_000
 
@@ -258,7 +258,7 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(th, template): per host the tokens of its valid classes, outermost class first."""
 
     def tokens(batches):
-        for b in batches:
+        for b in sliced(batches):
             hosts, parts, keys, vectors = [], [], [], []
             for page, (url, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 host = host_of(url)
@@ -296,13 +296,13 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text and its code points."""
     scratch = Scratch(pages.sparkSession, "html")
-    pages = small_batches(pages).selectExpr("cast(page_id as long) page_id", "url", "html")
+    pages = spread(pages).selectExpr("cast(page_id as long) page_id", "url", "html")
     templates = deduce_templates(pages, scratch)
     scratch.drop("tokens")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = []
             for html, template in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 texts.append(main_text(html, frozenset(x % 2**64 for x in template or ())))

@@ -33,7 +33,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small_batches, small_side
+from ._common import Scratch, sliced, small_side, spread
 
 LEAST_SHARED, BLOCK_LINES, LEVEL, BROADCAST_ROWS = 100, 1000, 3, 1_000_000
 DATE = "2024-01-01T00:00:00Z"
@@ -100,7 +100,7 @@ class CaptureArchive:
 
     def write(self, pages: DataFrame) -> CaptureArchive:
         s, root = self.scratch, self.scratch.root
-        rows = small_batches(pages).selectExpr("cast(page_id as long) page_id", "url", "coalesce(html, '') html")
+        rows = spread(pages).selectExpr("cast(page_id as long) page_id", "url", "coalesce(html, '') html")
         rows = rows.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
         alike = rows.where(F.octet_length("html") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
         alike = s.save(alike.where("n > 1 and first_page is not null").select(F.col("digest").alias("d"), "first_page"), "alike")
@@ -109,7 +109,7 @@ class CaptureArchive:
 
         def archive(batches):
             out, name, at = None, f"{root}/captures/{uuid.uuid4().hex}.warc.gz", 0
-            for b in batches:
+            for b in sliced(batches):
                 lines = []
                 for page, url, html, digest, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                     if out is None:
@@ -141,7 +141,7 @@ class CaptureArchive:
                 at += len(packed)
                 return pa.RecordBatch.from_arrays([pa.array([x]) for x in (rows_[0][0], rows_[-1][0], name.rpartition("/")[2], at - len(packed), len(packed))], ["first", "last", "file", "at", "size"])
 
-            for b in batches:
+            for b in sliced(batches):
                 held += list(zip(*(c.to_pylist() for c in b.columns)))
                 while len(held) >= BLOCK_LINES:
                     yield flush(held[:BLOCK_LINES])
@@ -167,7 +167,7 @@ class CaptureArchive:
             d = pq.ParquetDataset(path, filesystem=fs).read(columns=["first", "last", "file", "at", "size"]).to_pylist()
             d.sort(key=lambda x: (x["first"], x["last"], x["file"], x["at"]))
             lasts = [x["last"] for x in d]
-            for b in batches:
+            for b in sliced(batches):
                 found = set()
                 for k in b.column(0).to_pylist():
                     i = bisect_left(lasts, k)
@@ -193,7 +193,7 @@ class CaptureArchive:
                     streams[file] = fs.open_input_file(path)
                 return streams[file].read_at(size, at)
 
-            for b in batches:
+            for b in sliced(batches):
                 for file, at, size in zip(*(c.to_pylist() for c in b.columns)):
                     lines = [json.loads(x) for x in zlib.decompress(ranged("index", file, at, size)).decode().split("\n")]
                     rows = []
@@ -214,7 +214,7 @@ class CaptureArchive:
 
 def keys_of(urls: DataFrame) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in b.column(0).to_pylist()}), pa.string())], ["key"])
 
     return urls.select("url").mapInArrow(run, "key string").distinct()

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, gram_hashes, mix, small_batches, small_side, word_hashes
+from ._common import gram_hashes, mix, Scratch, sliced, small_side, spread, word_hashes
 
 SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 0.8, 24, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -122,7 +122,7 @@ def bag(text: str | None, k: int = SHINGLE) -> Counter:
 
 def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for t in b.column(1).to_pylist():
                 w = _words(t)
@@ -148,7 +148,7 @@ def _verify(threshold: float):
                     known.popitem(last=False)
             return known[key]
 
-        for b in batches:
+        for b in sliced(batches):
             a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
             sims = [similarity(of(x, s), of(y, t)) for x, y, s, t in zip(a, c, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sims, pa.float64())], ["a", "b", "sim"]).filter(pa.array([x >= threshold for x in sims], pa.bool_()))
@@ -232,7 +232,7 @@ def classify(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, ro
     """Per row: doc_id, class_id, stays and the text's digest ``dg``."""
     spark = docs.sparkSession
     s = Scratch(spark, "bagminhash")
-    docs = small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = spread(docs).selectExpr("cast(doc_id as long) doc_id", "text")
     signed = s.save(_signatures(docs, bands, rows), "signed")
     nodes = s.save(signed.groupBy("dg").agg(F.min("doc_id").alias("first_id"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.select("dg", F.explode("bands").alias("key"))

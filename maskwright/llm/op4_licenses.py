@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import sliced, spread
 
 # A-Z become small, what is not a word character becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -119,7 +119,7 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     vocab = frozenset(w for _, p in _phrases() for w in p) | frozenset(w for _, t, _ in _templates() for w in t) | frozenset(w for _, p in _notices() for w in p)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             seen: Counter = Counter()
             texts = b.column(0).to_pylist()
             for t in texts:
@@ -204,11 +204,11 @@ class Index:
 
 
 def licenses(docs: DataFrame) -> DataFrame:
-    n_docs, df = frequencies(small_batches(docs))
+    n_docs, df = frequencies(docs)
 
     def run(batches):
         index = Index(n_docs, df)
-        for b in batches:
+        for b in sliced(batches):
             cols = list(zip(*(index.scan(t) for t in b.column(1).to_pylist()))) or [[]] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])

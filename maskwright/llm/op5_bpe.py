@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import small_batches
+from ._common import sliced, spread
 
 END, MARK = "</w>", "\ue000"
 CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def run(batches):
         bpe = tokenizer(path)
-        for b in batches:
+        for b in sliced(batches):
             n, one, two, all_ids, texts = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = bpe.encode(t or "")
@@ -188,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<long>, decoded string" * with_ids)
+    return spread(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<long>, decoded string" * with_ids)
 
 
 def vocabulary_path() -> str:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import small_batches
+from ._common import sliced, spread
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -110,7 +110,7 @@ def quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """A verdict per row of ``docs``; with ``with_text`` also the cleaned text."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(0)
             out = [judge(t) for t in b.column(1).to_pylist()]
             cols = list(zip(*out)) if out else [[]] * 10
@@ -120,7 +120,7 @@ def quality(docs: DataFrame, with_text: bool = False) -> DataFrame:
             keep = len(names) if with_text else len(names) - 1
             yield pa.RecordBatch.from_arrays(arrays[:keep], names[:keep])
 
-    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", clean_text string" * with_text)
+    return spread(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", clean_text string" * with_text)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def clean(docs: DataFrame) -> DataFrame:
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = [judge(t) for t in b.column(at).to_pylist()]
             mask = pa.array([x[6] for x in out], pa.bool_())
             cols = list(b.columns)
@@ -139,7 +139,7 @@ def clean(docs: DataFrame) -> DataFrame:
                 cols[chars] = pa.array([len(x[9]) for x in out], pa.int64()).cast(b.column(chars).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(mask)
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return spread(docs).mapInArrow(run, schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

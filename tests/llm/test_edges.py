@@ -72,7 +72,8 @@ def test_index_in_batches_gives_what_one_batch_gives(spark):
     got = []
     for part in (data[:2], data[2:3], data[3:5], data[5:]):
         got += [tuple(r) for r in index.ingest(spark.createDataFrame(part, "doc_id long, text string")).collect()]
-    assert len(index.runs) <= 2
+        assert all(len(level.runs) <= 2 for level in (index.prints, index.windows, index.texts))
+    index.close()
     assert sorted(got) == sorted(brute.substrings(data))
 
 
