@@ -183,3 +183,32 @@ def test_pipeline_against_brute_force(spark):
         if brute.secrets(text)[:3] == (0, 0, 0):
             ids = t.encode(text, add_special_tokens=False).ids
             assert got[d] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+
+
+def test_one_key_gives_its_captures_only(spark, monkeypatch):
+    monkeypatch.setattr(op2_warc, "BLOCK_LINES", 10)
+    rows = [(i, f"http://h{i % 7}.org/p", f"<p>{i % 40}" + "text " * 40) for i in range(200)] + [(900, "http://odd.org/\né\"x", "y" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 key", "2 d", "'x' first", "3 at", "4 size", "'f' file")
+    archive = op2_warc.CaptureArchive(spark).write(pages)
+    one = spark.createDataFrame([("http://h3.org/p",)], "url string")
+    found = archive.find_captures(op2_warc.keys_of(one)).collect()
+    assert len(found) == sum(i % 7 == 3 for i in range(200)) and {r.key for r in found} == {"org,h3)/p"}
+    hit = archive.lookup(one).collect()
+    assert sorted(r.page_id for r in hit) == [i for i in range(200) if i % 7 == 3] and all((r.record_type == "revisit") == (r.page_id >= 40) for r in hit)
+    odd = archive.lookup(spark.createDataFrame([(rows[-1][1],)], "url string")).first()
+    assert (odd.page_id, odd.url, odd.payload_bytes) == (900, rows[-1][1], 200_000)
+    assert archive.lookup(spark.createDataFrame([("http://none.org/",)], "url string")).count() == 0
+
+
+def test_records_are_as_other_readers_want_them():
+    import gzip
+    import hashlib
+
+    digest = hashlib.sha256(b"<p>").hexdigest()
+    response, revisit = op2_warc.pack(1, "http://a.org/x", b"<p>", digest), op2_warc.pack(2, "http://a.org/\r\ny", b"<p>", digest, 1, "http://a.org/x")
+    head = gzip.decompress(response).split(b"\r\n\r\n")[0].decode().split("\r\n")
+    fields = dict(x.split(": ", 1) for x in head[1:])
+    again = dict(x.split(": ", 1) for x in gzip.decompress(revisit).split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    assert head[0] == "WARC/1.1" and fields["WARC-Target-URI"] == "http://a.org/x" and again["WARC-Refers-To"] == fields["WARC-Record-ID"]
+    assert again["WARC-Target-URI"] == "http://a.org/%0D%0Ay" and again["WARC-Refers-To-Target-URI"] == "http://a.org/x" and op2_warc.unpack(revisit)["url"] == "http://a.org/\r\ny"
+    assert b"WARC-Type: warcinfo" in gzip.decompress(op2_warc.opening("n")) and op2_warc.unpack(response)["payload"] == b"<p>"
