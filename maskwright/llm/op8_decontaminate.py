@@ -1,15 +1,20 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
 Only DataFrame functions. A document's windows are hashed inside its own row and
-tested against the set of test window hashes; only hits leave the row, are
-verified word by word against the test windows and then gathered again per row.
-The set goes to the executors as literals while the benchmark has at most
-``set_limit`` windows; beyond that all windows are joined by shuffle.
+tested against the set of test window hashes. The texts with a hit, known by digest,
+are then gone through word by word: what stands there must be a test window. Only
+(digest, place) rows and texts with a hit are ever moved.
+
+While the benchmark has at most ``set_limit`` windows the set is part of the plan
+and the test is made inside the row. Beyond, hashes of windows (no words) go through
+a join with the set, which is broadcast up to ``BROADCAST_WINDOWS`` rows of 16 bytes;
+beyond that too the join moves hashes, three times a text's bytes, and no words.
 
 Defined cases: a null or empty text, or one of separators only, has no words and
 is clean; an item without words, or with a null id, is ignored; repeated items
 count once, repeated documents each for themselves; an empty benchmark leaves
-all documents clean; other columns are ignored.
+all documents clean; very long texts are one row each, tested in place; other
+columns are ignored, and the pipeline form returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small_side
+from ._common import Scratch, own_name, small_side, spread
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, SET_LIMIT, BROADCAST_ROWS = 10, 100_000, 500_000
+WINDOW, SET_LIMIT, BROADCAST_ROWS, BROADCAST_WINDOWS = 10, 100_000, 500_000, 4_000_000
 
 
 def words_of(col: str):
@@ -38,60 +43,76 @@ def grams_of(benchmark: DataFrame, n: int) -> DataFrame:
     ).distinct()
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
-    """One row per document: its number of words and the verified windows found in it."""
-    grams = grams_of(benchmark, n)
-    keys = grams.select("h", "len").distinct().limit(set_limit + 1).collect()  # bounded by the set's limit
-    fits = len(keys) <= set_limit
-    lens = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most n
-    rows = docs.select("*", F.monotonically_increasing_id().alias("rid")).withColumn("w", words_of("text")).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+def _digest():
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _places(lens: list[int], keys: dict[int, list[int]] | None):
+    """A row's windows as (pos, len, h); with ``keys`` only those of the set."""
     empty = F.expr("cast(array() as array<struct<pos:int,len:int,h:bigint>>)")
     found = empty
     for ln in lens:
         picked = f"transform(sequence(0, size(wh) - {ln}), i -> named_struct('pos', i, 'len', {ln}, 'h', xxhash64(slice(wh, i + 1, {ln}))))"
-        if fits:
-            picked = f"filter({picked}, x -> x.h in ({','.join(str(r['h']) + 'L' for r in keys if r['len'] == ln)}))"
-        picked = F.expr(picked)
-        found = F.concat(found, F.when(F.size("wh") >= ln, picked).otherwise(empty))
-    rows = rows.withColumn("hit", found)
-    flat = rows.select("rid", "doc_id", F.size("w").alias("n_words"), "w", F.explode_outer("hit").alias("x")).select(
-        "rid", "doc_id", "n_words", F.col("x.pos").alias("pos"), F.col("x.len").alias("len"), F.col("x.h").alias("h"),
-        F.when(F.col("x.pos").isNotNull(), F.array_join(F.expr("slice(w, x.pos + 1, x.len)"), " ")).alias("gram"),
-    )
-    # bounded where the set is: a window's items are looked up beside it
-    table = grams.groupBy("h", "len", "gram").agg(F.collect_set("item").alias("items"))
-    table = F.broadcast(table) if fits else table
-    return flat.join(table, ["h", "len", "gram"], "left")
+        if keys is not None:
+            picked = f"filter({picked}, x -> x.h in ({','.join(f'{h}L' for h in keys[ln])}))"
+        found = F.concat(found, F.when(F.size("wh") >= ln, F.expr(picked)).otherwise(empty))
+    return found
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int, set_limit: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(dg, doc_id, n_words) of each row, and (hd, pos, len, items) of each verified window of each text."""
+    grams = scratch.save(grams_of(benchmark, n), "grams")
+    keys = scratch.save(grams.select("h", "len").distinct(), "keys")
+    lens = sorted(r["len"] for r in keys.select("len").distinct().collect())  # at most n
+    rows = docs.select("doc_id", "text", _digest().alias("dg")).withColumn("w", words_of("text")).withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
+    if keys.count() <= set_limit:
+        of: dict[int, list[int]] = {ln: [] for ln in lens}
+        for r in keys.collect():  # bounded by the set's limit
+            of[r["len"]].append(r["h"])
+        base = scratch.save(rows.select("dg", "doc_id", F.size("w").cast("long").alias("n_words"), _places(lens, of).alias("hit")), "rows")
+        found = base.select("dg", F.explode("hit").alias("x")).select("dg", "x.*")
+        base = base.drop("hit")
+    else:
+        base = scratch.save(rows.select("dg", "doc_id", F.size("w").cast("long").alias("n_words")), "rows")
+        flat = rows.select("dg", F.explode(_places(lens, None)).alias("x")).select("dg", "x.*")
+        # grouped first, so that a window of many copies is one row
+        found = flat.join(small_side(keys.select(F.col("h").alias("kh"), F.col("len").alias("kl")), BROADCAST_WINDOWS), (F.col("h") == F.col("kh")) & (F.col("len") == F.col("kl")), "left_semi")
+    per = scratch.save(found.groupBy("dg").agg(F.collect_set(F.struct("pos", "len", "h")).alias("hit")).withColumnRenamed("dg", "hd"), "found")
+    texts = docs.select("text", _digest().alias("dg")).join(small_side(per.select(F.col("hd").alias("sd")), BROADCAST_ROWS), F.col("dg") == F.col("sd"), "left_semi").groupBy("dg").agg(F.any_value("text").alias("text"))
+    placed = texts.join(per, F.col("dg") == F.col("hd")).select("hd", words_of("text").alias("w"), "hit")
+    spelt = F.expr("transform(hit, x -> named_struct('pos', x.pos, 'len', x.len, 'h', x.h, 'gram', array_join(slice(w, x.pos + 1, x.len), ' ')))")
+    spelt = placed.select("hd", F.explode(spelt).alias("x")).select("hd", "x.*")
+    table = scratch.save(grams.groupBy("h", "len", "gram").agg(F.collect_set("item").alias("items")), "table")
+    verified = scratch.save(spelt.join(small_side(table, set_limit), ["h", "len", "gram"]).select("hd", "pos", "len", "items"), "verified")
+    scratch.drop("grams", "keys", "found", "table")
+    return base, verified
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
     """Words, hit words and items of each document."""
-    got = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, n, set_limit)
-    spans = F.collect_set(F.when(F.col("items").isNotNull(), F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))))
-    per = got.groupBy("rid").agg(
-        F.any_value("doc_id").alias("doc_id"), F.any_value("n_words").cast("long").alias("n_words"),
-        F.array_sort(spans).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    base, verified = hits(spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, n, set_limit, scratch)
+    spans = F.collect_set(F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))
+    per = verified.groupBy("hd").agg(F.array_sort(spans).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.expr(
         "aggregate(spans, named_struct('n', 0L, 'e', 0), (a, s) -> named_struct('n', a.n + greatest(0, s.end - greatest(a.e, s.pos)), 'e', greatest(a.e, s.end)), a -> a.n)"
     )
-    return per.select(
-        "doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    per = scratch.save(per.select("hd", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "per-text")
+    out = base.join(small_side(per, BROADCAST_ROWS), F.col("dg") == F.col("hd"), "left")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
-    """Pipeline form: the documents without any verified window, columns unchanged.
-
-    Texts with a window are known by digest; that table is written, and joined
-    away without moving texts while it is small.
-    """
-    names = docs.columns
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    found = hits(docs.select(digest.alias("doc_id"), "text"), benchmark, n, set_limit).where("items is not null")
-    bad = Scratch(docs.sparkSession, "decontaminate").save(found.select(F.col("doc_id").alias("_bad")).distinct(), "bad")
-    return docs.withColumn("_digest", digest).join(small_side(bad, BROADCAST_ROWS), F.col("_digest") == F.col("_bad"), "left_anti").select(*names)
+    """Pipeline form: the documents without any verified window, columns unchanged."""
+    scratch, names = Scratch(docs.sparkSession, "decontaminate"), docs.columns
+    _, verified = hits(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), benchmark, n, set_limit, scratch)
+    digest, bad = own_name("digest", names), own_name("bad", names)
+    table = scratch.save(verified.select(F.col("hd").alias(bad)).distinct(), "bad")
+    rows = docs.withColumn(digest, _digest())
+    return rows.join(small_side(table, BROADCAST_ROWS), F.col(digest) == F.col(bad), "left_anti").drop(digest)
 
 
 def op8_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
