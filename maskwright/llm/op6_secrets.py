@@ -11,8 +11,9 @@ A text is known in the index by a 64-bit hash of itself. Texts that share it
 share their postings, which can only add candidates, never lose one.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned
-alike; an empty table gives an empty result; other columns are ignored, and the
-pipeline form returns them unchanged.
+alike; an empty table gives an empty result; a very long text is one row, searched
+as others are; other columns are ignored, and the pipeline form returns them
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, small_side
+from ._common import Scratch, own_name, small_side, spread
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,8 @@ ADDED = [
     Rule("pem", r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
 ]
 RULES = BASE + ADDED
-CANDIDATE_LIMIT = 500_000
+CANDIDATE_LIMIT = 4_000_000  # rows of 12 bytes, which are broadcast
+SALT = 16
 MOST_EXACT = 24
 
 
@@ -182,25 +184,36 @@ def _longer(rule: Rule) -> str:
     return rule.pattern[:-1] + f"{{{rule.least - len(head)},}}"
 
 
-def scan(docs: DataFrame, rules: list[Rule] = RULES, limit: int = CANDIDATE_LIMIT) -> DataFrame:
-    """``docs`` with a column ``spans``: array of (s, e, o, kind) by start, then kind in the rules' order."""
+def scan(docs: DataFrame, rules: list[Rule] = RULES, limit: int = CANDIDATE_LIMIT, out: str = "spans") -> DataFrame:
+    """``docs`` with a column ``out``, a new name: array of (s, e, o, kind) by start, then kind in the rules' order."""
     scratch = Scratch(docs.sparkSession, "secrets")
+    names = docs.columns
+    if out in names:
+        raise ValueError(f"{out} is a column already")
     index = scratch.save(build_index(docs, rules), "index")
-    cand = scratch.save(candidates(index, rules), "candidates")
+    ckey, may = own_name("ckey", names), own_name("may", names)
+    cand = scratch.save(candidates(index, rules).select(F.col("ckey").alias(ckey), F.col("may").alias(may)), "candidates")
     scratch.drop("index")
-    names = docs.columns
-    free = [c for c in ("ckey", "may", "spans") if c in names]
-    if free:
-        raise ValueError(f"columns reserved by the scan: {free}")
-    rows = docs.join(small_side(cand, limit), _key() == F.col("ckey"), "left")
     none = F.expr("cast(array() as array<struct<s:int,e:int,o:int,kind:string>>)")
-    parts = []
-    for r, rule in enumerate(rules):
-        found = _spans(rule, r)
-        if mandatory(rule.pattern):
-            found = F.when(F.col("may").bitwiseAND(F.lit(1 << r)) != 0, found)
-        parts.append(F.coalesce(found, none))
-    return rows.select(*(F.col(f"`{c}`") for c in names), F.array_sort(F.concat(*parts)).alias("spans"))
+
+    def searched(rows: DataFrame) -> DataFrame:
+        parts = []
+        for r, rule in enumerate(rules):
+            found = _spans(rule, r)
+            if mandatory(rule.pattern):
+                found = F.when(F.col(may).bitwiseAND(F.lit(1 << r)) != 0, found)
+            parts.append(F.coalesce(found, none))
+        return rows.withColumn(out, F.array_sort(F.concat(*parts))).select(*(F.col(f"`{c}`") for c in names), F.col(out))
+
+    if cand.count() <= limit:
+        return searched(docs.join(F.broadcast(cand), _key() == F.col(ckey), "left"))
+    # texts meet their candidates by key; copies of a text, which may be a third of all rows, in SALT places, empty texts nowhere
+    salt, part = own_name("salt", names), own_name("part", names)
+    held = F.coalesce(F.octet_length("text"), F.lit(0)) > 0
+    spare = cand.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    rows = docs.where(held).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    met = searched(rows.join(spare, (_key() == F.col(ckey)) & (F.col(salt) == F.col(part)), "left"))
+    return met.unionByName(docs.where(~held).withColumn(out, none))
 
 
 def listed(only_base: bool = False) -> Column:
@@ -208,24 +221,26 @@ def listed(only_base: bool = False) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
 
-def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, rules: list[Rule] = RULES, mark: str = "<secret>", limit: int = CANDIDATE_LIMIT) -> DataFrame:
     """Pipeline form: the same rows and columns with every span replaced by ``mark``; spans that touch or overlap give one mark."""
     names = docs.columns
-    rows = scan(docs, rules)
+    out = own_name("spans", names)
+    rows = scan(docs, rules, limit, out)
     merged = (
-        "aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> "
+        f"aggregate(`{out}`, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> "
         f"if(x.e <= a.at, a, named_struct('at', x.e, 'out', if(x.s <= a.at and size(a.out) > 0, a.out, concat(a.out, array(substring(text, a.at + 1, x.s - a.at), '{mark}'))))), "
         "a -> concat(array_join(a.out, ''), substring(text, a.at + 1, length(text))))"
     )
-    rows = rows.withColumn("text", F.when(F.size("spans") > 0, F.expr(merged)).otherwise(F.col("text")))
+    hit = F.size(out) > 0
+    rows = rows.withColumn("text", F.when(hit, F.expr(merged)).otherwise(F.col("text")))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+        rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return rows.drop(out)
 
 
-def secrets(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules)
+def secrets(docs: DataFrame, rules: list[Rule] = RULES, limit: int = CANDIDATE_LIMIT) -> DataFrame:
+    rows = scan(spread(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rules, limit)
     count = lambda o: F.size(F.filter("spans", lambda x: x["o"] == o)).cast("long")
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
