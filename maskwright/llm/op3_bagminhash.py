@@ -26,7 +26,8 @@ joined components anew.
 Defined cases: null and empty texts are equal to each other and join nothing
 else; texts of one to four words are one shingle of all their words; a null doc_id
 gives a row with the class of its text; repeated rows give a row each; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; a very long text is one bag; other columns are
+ignored, and the pipeline form returns them, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import gram_hashes, mix, Scratch, sliced, small_side, spread, word_hashes
+from ._common import gram_hashes, mix, own_name, Scratch, sliced, small_side, spread, word_hashes
 
 SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, 0.8, 24, 4
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -327,16 +328,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Texts of one class that share this doc_id are told apart by their digests, and
     of rows equal in both one stays; a class without any doc_id keeps a row as well.
     """
-    s = Scratch(docs.sparkSession, "keep-one")
-    names = docs.columns
-    stay = classify(docs.select("doc_id", "text")).where("stays").groupBy("doc_id", "dg").agg(F.count("*").alias("_rows"))
-    stay = s.save(stay.select(F.col("doc_id").alias("_sd"), F.col("dg").alias("_sg"), "_rows"), "stay")
-    rows = docs.withColumn("_dg", _digest())
-    kept = rows.join(small_side(stay, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col("_sd")) & (F.col("_dg") == F.col("_sg")))
-    if stay.where("_rows > 1").isEmpty():
-        return kept.select(*names)
-    again = kept.where("_rows > 1").dropDuplicates(["_sd", "_sg"])
-    return kept.where("_rows = 1").unionByName(again).select(*names)
+    s, names = Scratch(docs.sparkSession, "keep-one"), docs.columns
+    sd, sg, many, dg = (own_name(x, names) for x in ("sd", "sg", "many", "dg"))
+    stay = classify(docs.select("doc_id", "text")).where("stays").groupBy("doc_id", "dg").agg((F.count("*") > 1).alias(many))
+    stay = s.save(stay.select(F.col("doc_id").alias(sd), F.col("dg").alias(sg), many), "stay")
+    rows = docs.withColumn(dg, _digest())
+    kept = rows.join(small_side(stay, BROADCAST_ROWS), F.col("doc_id").cast("long").eqNullSafe(F.col(sd)) & (F.col(dg) == F.col(sg))).drop(dg)
+    if not stay.where(many).isEmpty():
+        kept = kept.where(~F.col(many)).unionByName(kept.where(many).dropDuplicates([sd, sg]))
+    return kept.drop(sd, sg, many)
 
 
 def op3_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,8 +55,9 @@ def test_contracts_on_edges(docs):
     assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in brute.classes(rows).items() if k is not None}
 
 
-@pytest.mark.parametrize("limit", [100, 1])
-def test_decontamination_with_and_without_the_set(spark, docs, limit):
+@pytest.mark.parametrize("limit,broadcast", [(100, 9), (1, 100), (1, 0)])
+def test_decontamination_with_and_without_the_set(spark, monkeypatch, docs, limit, broadcast):
+    monkeypatch.setattr(op8_decontaminate, "BROADCAST_WINDOWS", broadcast)
     items = [(1, "mark item words one two three four five six seven eight"), (2, "item WORDS one"), (3, None), (4, "..."), (None, "bench mark"), (2, "item WORDS one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(r)[1:] for r in op8_decontaminate.decontaminate(docs, bench, set_limit=limit).collect())
@@ -87,6 +88,26 @@ def test_redaction_and_cleaning_keep_columns(docs):
     assert op3_bagminhash.keep_one(docs).where("doc_id in (7, 8)").count() == 0
 
 
+def test_clashing_names_stay(spark):
+    """Columns named as the operators' own come through each pipeline form unchanged."""
+    import corpus_pipeline
+
+    own = ["spans", "may", "ckey", "salt", "part", "_rows", "_dg", "_sd", "_sg", "sd", "sg", "many", "dg", "_digest", "digest", "_bad", "bad", "hd", "w", "wh", "hit", "key", "out", "at", "x", "DG", "n_chars"]
+    own = [c for c in own if c.lower() not in {o.lower() for o in own[: own.index(c)]}]
+    texts = [" ".join(BASE), " ".join(NEAR), None, "", "some words of its own, ten of them at the very least here. " + 'password = "hunter22222"', "bench mark one two three four five six seven eight nine ten"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("*", *(F.concat(F.lit(c), "doc_id").alias(c) if c != "n_chars" else F.length("text").alias(c) for c in own))
+    bench = spark.createDataFrame([(1, texts[5])], "item_id long, text string")
+    for limit in (0, 1000):
+        rows = [(op6_secrets.redact(df, limit=limit), {0, 1, 2, 3, 4, 5})]
+        rows += [(op3_bagminhash.keep_one(df), {0, 2, 4, 5}), (op8_decontaminate.remove_contaminated(df, bench, set_limit=limit), {0, 1, 2, 3, 4}), (op9_quality.clean(df), {0, 1, 4, 5})] if limit else []
+        for got, ids in rows:
+            assert got.columns == df.columns
+            got = got.collect()
+            assert {r.doc_id for r in got} == ids and all(r[c] == f"{c}{r.doc_id}" for r in got for c in own if c != "n_chars")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "near_dedup", "decontamination", "secret_scan", "bpe"]
+
+
 def test_one_row_of_each_class_stays(spark, docs):
     kept = op3_bagminhash.keep_one(docs)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
