@@ -82,6 +82,33 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(rep), len(w) < 10 or 100 * len(rep) > 20 * len(w)
 
 
+def frequent(texts):
+    """Lines of up to 25 words that stand behind 20 other lines or more, and behind as many as 0.2 % of the documents."""
+    behind = defaultdict(set)
+    for t in texts:
+        before = None
+        for line in (t or "").split("\n"):
+            key = " ".join(line.split())
+            if key:
+                behind[key].add(before)
+                before = key
+    return {k for k, b in behind.items() if len(b) >= 20 and 1000 * len(b) >= 2 * len(texts) and len(k.split()) <= 25}
+
+
+def verdict(text, known, fails):
+    """(kept, lines left) by the rules' words: ``fails`` judges a line alone, ``known`` are the frequent lines."""
+    lines = (text or "").split("\n")
+    size = lambda some: sum(len("".join(plain(x))) for x in some)
+    good = [x for x in lines if not fails(x)]
+    own = [x for x in good if " ".join(x.split()) not in known]
+    if sum(len(x.split()) for x in own) < 10:
+        own, away = good, 0
+    else:
+        away = size(good) - size(own)
+    whole = size(lines) - away
+    return not quality(text)[5] and size([x for x in lines if fails(x)]) <= 0.5 * whole, own
+
+
 def substrings(rows, n=50):
     least: dict = {}
     for doc, t in rows:
