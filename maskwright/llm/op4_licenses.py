@@ -1,11 +1,13 @@
 """Licence scan through a positional index of rare words.
 
-Every template's words are weighed by their inverse document frequency, counted
-over all documents. The rarest words of each template and phrase form the index:
-word -> postings (template, position). A file's occurrences of those words are
-looked up; each posting votes for the place where the template would start, and
-places where the votes of one template agree are verified: words are compared
-there, and the template's mandatory key phrases must all stand where they should.
+The index has a posting (template, position) for every word of every licence
+passage; words are weighed by their inverse document frequency, counted over all
+documents. Of the licence words that a file holds, those of highest weight are looked
+up, and their postings vote for the stretch of places where the template would start:
+the file's place less the template's. Stretches overlap, so that words put in or left
+out on the way don't part the votes. Where a template has votes enough it is aligned
+with the words there, in order, and its mandatory key phrases must stand among them,
+in their order, each whole.
 
 Base phrases are templates that are mandatory as a whole. Their rarest word is in
 every occurrence, so looking it up everywhere misses none.
@@ -17,14 +19,16 @@ another licence that is led in itself. They count for ``labels`` and ``score``,
 not for the base columns.
 
 Defined cases: null and empty texts have no words; repeated rows are scanned
-alike; an empty table gives an empty result; among places of equal score all are
-kept and the label is listed once; other columns are ignored.
+alike; an empty table gives an empty result; a very long text is scanned whole, at
+each of its places; among places of equal score all are kept and the label is listed
+once; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,16 +47,34 @@ PHRASES = {
 }
 # Passages of public licences, each with phrases that must be there.
 TEMPLATES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", ["permission is hereby granted free of charge", "without restriction"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["permission is hereby granted free of charge", "without restriction"]),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0", "except in compliance with the license"]),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license version 2 0", "in compliance with the license"]),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["agreed to in writing", "on an as is basis", "limitations under the license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "conditions are met"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce", "list of conditions"]),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license", "free software foundation"]),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ["hope that it will be useful", "gnu general public license"]),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details", ["hope that it will be useful", "gnu lesser general public license"]),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", ["mozilla public license v 2 0"]),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify", "with or without fee"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "with or without fee"]),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free and unencumbered software", "released into the public domain"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["held liable for any damages", "redistribute it freely"]),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", ["any person or organization", "covered by this license"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license which accompanies this distribution", ["accompanying materials", "eclipse public license"]),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", ["verbatim or modified copies", "as long as the name is changed"]),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1 this license is copied below and is also available with a faq at", ["font software", "sil open font license"]),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license", ["common development and distribution license"]),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ["to the extent possible under law", "related or neighboring rights"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license", ["creative commons attribution noncommercial sharealike"]),
 ]
 # Names of licences in short notices. A version that the label names must be there.
 NOTICES = {
@@ -64,6 +86,16 @@ NOTICES = {
     "mpl-2": ["mozilla public license version 2", "mozilla public license v2", "mozilla public license v 2", "mozilla public license 2", "mpl 2", "mpl v2", "mpl v 2", "mplv2", "mpl2", "version 2 of the mozilla public license", "version 2 0 of the mozilla public license"],
     "isc": ["isc license", "spdx license identifier isc"],
     "unlicense": ["unlicense"],
+    "agpl": ["gnu affero general public license", "affero general public license", "agpl", "agplv3", "agpl3"],
+    "epl": ["eclipse public license", "epl 1", "epl 2"],
+    "bsl-1": ["boost software license"],
+    "zlib": ["zlib license"],
+    "artistic-2": ["artistic license 2", "artistic license version 2"],
+    "ofl": ["sil open font license", "open font license"],
+    "eupl": ["european union public licence", "eupl"],
+    "cddl": ["common development and distribution license", "cddl"],
+    "cc0": ["cc0", "creative commons zero"],
+    "cc-by-nc-sa": ["creative commons attribution noncommercial sharealike", "cc by nc sa"],
     "cc-by": ["creative commons attribution", "cc by"],
     "cc-by-sa": ["creative commons attribution sharealike", "creative commons attribution share alike", "cc by sa"],
     "cc-by-nc": ["creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"],
@@ -73,7 +105,10 @@ FILLING = frozenset(b"the a an terms and conditions of either or both any later
 LONGEST_LEAD = 16
 # An attribution licence with one of these behind its name is another licence.
 OTHER_CC = frozenset(b"nc nd sa noncommercial non noderivs noderivatives no sharealike share".split())
-RARE, LEAST_VOTE, LEAST_SCORE = 6, 0.4, 0.8
+#: Rarest words of a template, one of which must be there; highest-weighing words of a file that are looked up.
+RARE, FILE_WORDS = 12, 96
+#: Words that may be put in or left out ahead of a place; share of a template's weight that votes, and of its words that must align.
+SHIFT, LEAST_VOTE, LEAST_SCORE = 16, 0.5, 0.8
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -86,15 +121,24 @@ def _phrases() -> list[tuple[str, list[bytes]]]:
     return [(label, words_of(p)) for p, label in PHRASES.items()]
 
 
-def _templates() -> list[tuple[str, list[bytes], list[tuple[int, list[bytes]]]]]:
-    out = []
-    for label, text, keys in TEMPLATES:
-        words, placed = words_of(text), []
-        for k in map(words_of, keys):
-            at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
-            placed.append((at, k))
-        out.append((label, words, placed))
-    return out
+def _templates() -> list[tuple[str, list[bytes], list[list[bytes]]]]:
+    return [(label, words_of(text), list(map(words_of, keys))) for label, text, keys in TEMPLATES]
+
+
+def holds_in_order(words: list[bytes], phrases: list[list[bytes]]) -> bool:
+    """Whether each phrase stands whole among ``words``, behind the one before it."""
+    at = 0
+    for p in phrases:
+        at = next((i + len(p) for i in range(at, len(words) - len(p) + 1) if words[i : i + len(p)] == p), -1)
+        if at < 0:
+            return False
+    return True
+
+
+def aligned(template: list[bytes], words: list[bytes]) -> float:
+    """The share of the template's words that stand among ``words`` in its order."""
+    blocks = SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks()
+    return sum(b.size for b in blocks) / len(template)
 
 
 def _notices() -> list[tuple[str, list[bytes]]]:
@@ -138,15 +182,15 @@ class Index:
         self.phrases, self.templates = _phrases(), _templates()
         self.notices = _notices()
         self.base, self.names = self._by_rarest(self.phrases), self._by_rarest(self.notices)
-        self.rare: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.weight = []
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.weight, rare = [], set()
         for k, (_, words, _) in enumerate(self.templates):
-            chosen = sorted(set(words), key=lambda w: (-self.idf(w), w))[:RARE]
             for i, w in enumerate(words):
-                if w in chosen:
-                    self.rare[w].append((k, i))
-            self.weight.append(sum(self.idf(w) for w in words if w in chosen))
-        self.keys = frozenset(self.base) | frozenset(self.rare) | frozenset(self.names)
+                self.postings[w].append((k, i))
+            self.weight.append(sum(map(self.idf, words)))
+            rare.update(sorted(set(words), key=lambda w: (-self.idf(w), w))[:RARE])
+        self.rare = frozenset(rare)
+        self.keys = frozenset(self.base) | self.rare | frozenset(self.names)
 
     def _by_rarest(self, phrases: list[tuple[str, list[bytes]]]) -> dict[bytes, list[tuple[int, int]]]:
         out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
@@ -168,13 +212,37 @@ class Index:
                 ends.add(end)
         return labels
 
+    def _passages(self, words: list[bytes], held: frozenset[bytes]) -> dict[str, float]:
+        """label -> score of the templates that stand in ``words``; ``held`` are the licence words among them."""
+        best: dict[str, float] = {}
+        chosen = frozenset(sorted(held, key=lambda w: (-self.idf(w), w))[:FILE_WORDS])
+        votes: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
+        for i, w in enumerate(words):
+            if w in chosen:
+                for k, at in self.postings[w]:
+                    stretch = (i - at) // SHIFT
+                    # stretches are two SHIFTs wide and overlap by half
+                    for part in (stretch - 1, stretch):
+                        votes[k, part][at] = self.idf(w)
+        for (k, part), own in votes.items():
+            label, t, keys = self.templates[k]
+            if sum(own.values()) < LEAST_VOTE * self.weight[k]:
+                continue
+            start = part * SHIFT
+            there = words[max(0, start) : max(0, start + 2 * SHIFT + len(t) + SHIFT)]
+            if holds_in_order(there, keys):
+                score = aligned(t, there)
+                if score >= LEAST_SCORE:
+                    best[label] = max(best.get(label, 0.0), score)
+        return best
+
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
         n = len(words)
         if self.keys.isdisjoint(words):
             return n, 0, None, None, "", "", 0.0
-        starts, labels, votes, named = [], set(), Counter(), []
-        base, rare, names, keys = self.base, self.rare, self.names, self.keys
+        starts, labels, named = [], set(), []
+        base, names, keys = self.base, self.names, self.keys
         for i, w in enumerate(words):
             if w in keys:
                 for k, at in base.get(w, ()):
@@ -186,24 +254,18 @@ class Index:
                     p = self.notices[k][1]
                     if i >= at and words[i - at : i - at + len(p)] == p:
                         named.append((i - at, k))
-                for k, at in rare.get(w, ()):
-                    votes[k, i - at] += self.idf(w)
         own = labels | self._noticed(words, named)
         score = 1.0 if own else 0.0
-        for (k, at), v in votes.items():
-            label, t, placed = self.templates[k]
-            if v < LEAST_VOTE * self.weight[k]:
-                continue
-            if any(at + p < 0 or words[at + p : at + p + len(key)] != key for p, key in placed):
-                continue
-            same = sum(0 <= at + j < n and words[at + j] == w for j, w in enumerate(t)) / len(t)
-            if same >= LEAST_SCORE:
-                own.add(label)
-                score = max(score, same)
+        held = frozenset(self.postings.keys() & set(words))
+        if not held.isdisjoint(self.rare):
+            found = self._passages(words, held)
+            own |= found.keys()
+            score = max([score, *found.values()])
         return n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(own)), score
 
 
 def licenses(docs: DataFrame) -> DataFrame:
+    docs = spread(docs)
     n_docs, df = frequencies(docs)
 
     def run(batches):
