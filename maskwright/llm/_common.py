@@ -15,7 +15,7 @@ from ..operators.scratch import shared_dir, spread
 # the six ASCII white-space characters only.
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MULT_B = np.uint64(0xD6E8FEB86659FD93)
-SLICE_ROWS, OPEN_FILES, RANGE_BYTES = 256, 16, 16 << 20
+SLICE_ROWS, OPEN_FILES, RANGE_BYTES, SALT = 256, 16, 16 << 20, 16
 
 
 def sliced(batches):
@@ -115,6 +115,23 @@ def small_side(df: DataFrame, limit_rows: int):
     return F.broadcast(df) if df.count() <= limit_rows else df
 
 
+def joined_near(rows: DataFrame, table: DataFrame, key: str, on: str, limit_rows: int) -> DataFrame:
+    """``rows`` and what ``table``, a written one with one row a key, has for their ``key``, if anything.
+
+    Up to ``limit_rows`` the table is broadcast. Beyond, rows meet it by key, those of one key in ``SALT``
+    places, as a third of all may have it; rows without a key are not moved.
+    """
+    from pyspark.sql import functions as F
+
+    if table.count() <= limit_rows:
+        return rows.join(F.broadcast(table), F.col(key) == F.col(on), "left").drop(on)
+    salt, part = own_name("salt", rows.columns + table.columns), own_name("part", rows.columns + table.columns)
+    spare = table.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.where(F.col(key).isNotNull()).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    met = salted.join(spare, (F.col(key) == F.col(on)) & (F.col(salt) == F.col(part)), "left").drop(on, salt, part)
+    return met.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def dealt(places: DataFrame, *keys: str) -> DataFrame:
     """Rows that name byte ranges (``size``), dealt out by ``keys``: a task for ``RANGE_BYTES`` each, since Spark, which sees the names only, would make one of all."""
     from pyspark.sql import functions as F
@@ -158,4 +175,4 @@ def gram_hashes(h: np.ndarray, k: int, base: np.uint64 = MULT) -> np.ndarray:
     return mix(acc)
 
 
-__all__ = ["Appender", "MULT", "MULT_B", "Ranges", "Scratch", "dealt", "gram_hashes", "mix", "open_file", "own_name", "powers", "sliced", "small_side", "spread", "word_hashes"]
+__all__ = ["Appender", "MULT", "MULT_B", "Ranges", "Scratch", "dealt", "gram_hashes", "joined_near", "mix", "open_file", "own_name", "powers", "sliced", "small_side", "spread", "word_hashes"]

@@ -27,7 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, own_name, small_side, spread
+from ._common import Scratch, joined_near, own_name, spread
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,6 @@ ADDED = [
 ]
 RULES = BASE + ADDED
 CANDIDATE_LIMIT = 4_000_000  # rows of 12 bytes, which are broadcast
-SALT = 16
 MOST_EXACT = 24
 
 
@@ -205,15 +204,10 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, limit: int = CANDIDATE_LIMI
             parts.append(F.coalesce(found, none))
         return rows.withColumn(out, F.array_sort(F.concat(*parts))).select(*(F.col(f"`{c}`") for c in names), F.col(out))
 
-    if cand.count() <= limit:
-        return searched(docs.join(F.broadcast(cand), _key() == F.col(ckey), "left"))
-    # texts meet their candidates by key; copies of a text, which may be a third of all rows, in SALT places, empty texts nowhere
-    salt, part = own_name("salt", names), own_name("part", names)
-    held = F.coalesce(F.octet_length("text"), F.lit(0)) > 0
-    spare = cand.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    rows = docs.where(held).withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
-    met = searched(rows.join(spare, (_key() == F.col(ckey)) & (F.col(salt) == F.col(part)), "left"))
-    return met.unionByName(docs.where(~held).withColumn(out, none))
+    # texts meet their candidates by key; empty ones, which have none, need none
+    key = own_name("key", names)
+    rows = docs.withColumn(key, F.when(F.octet_length("text") > 0, _key()))
+    return searched(joined_near(rows, cand, key, ckey, limit))
 
 
 def listed(only_base: bool = False) -> Column:
