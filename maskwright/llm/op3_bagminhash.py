@@ -25,7 +25,7 @@ joined components anew.
 
 Defined cases: null and empty texts are equal to each other and join nothing
 else; texts of one to four words are one shingle of all their words; a null doc_id
-gives a row with the class of its text; repeated rows give a row each; an empty
+gives a row with the class of its text, and a class without any doc_id has a negative class_id of its own; repeated rows give a row each; an empty
 table gives an empty result; a very long text is one bag; other columns are
 ignored, and the pipeline form returns them, whatever their names.
 """
@@ -309,11 +309,13 @@ def classify(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, ro
 
     label = nodes.select("dg", "first_id").join(small_side(labels, BROADCAST_ROWS), F.col("dg") == F.col("node"), "left").select("dg", "first_id", F.coalesce("label", "dg").alias("label"))
     label = s.save(label, "label")
-    least = label.groupBy("label").agg(F.min("first_id").alias("class_id"), F.min_by("dg", F.struct(F.col("first_id").isNull(), "first_id", "dg")).alias("kept"))
-    least = s.save(least.select(F.col("label").alias("l"), "class_id", "kept"), "least")
-    classes = s.save(label.join(least, F.col("label") == F.col("l")).select(F.col("dg").alias("cd"), "class_id", (F.col("dg") == F.col("kept")).alias("kept")), "classes")
+    least = label.groupBy("label").agg(F.min("first_id").alias("least_id"), F.min_by("dg", F.struct(F.col("first_id").isNull(), "first_id", "dg")).alias("kept"))
+    # a class without any doc_id is told apart by a negative number made from its label
+    number = F.coalesce("least_id", F.lit(-1) - F.shiftrightunsigned(F.xxhash64("label"), 1))
+    least = s.save(least.select(F.col("label").alias("l"), "least_id", number.alias("class_id"), "kept"), "least")
+    classes = s.save(label.join(least, F.col("label") == F.col("l")).select(F.col("dg").alias("cd"), "class_id", "least_id", (F.col("dg") == F.col("kept")).alias("kept")), "classes")
     return signed.select("doc_id", "dg").join(classes, F.col("dg") == F.col("cd"), "left").select(
-        "doc_id", "class_id", (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("stays"), "dg"
+        "doc_id", "class_id", (F.col("kept") & F.col("doc_id").eqNullSafe(F.col("least_id"))).alias("stays"), "dg"
     )
 
 
