@@ -8,13 +8,17 @@ factor 0 the bounds are the exact quotas (law ``rows``: counts at most one
 apart); a larger factor moves fewer rows and gives looser balance.
 
 Which part of a cell goes where only depends on the rows per cell, a table whose
-size is the number of cells and not that of the data; rows are then numbered
-inside their cell. No text is shuffled.
+size is the number of cells and not that of the data. Rows that are equal in doc_id,
+size and CRC are one line with their number, made before anything is moved; lines are
+ranked inside their cell by running sums and spelt out again, a large number in
+parts on several tasks. So neither copies nor rows without id are a hot group, and
+no text is shuffled.
 
 Defined cases: a null text has size 1 and the CRC of nothing; a row's ring key is
 its ``doc_id`` with its size and CRC, so that rows sharing a null or repeated
 ``doc_id`` spread over the ring; rows equal in all three share a cell and take a
-slot each; an empty table gives an empty result; other columns are ignored.
+slot each; an empty table gives an empty result; a very long text is only measured;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CELLS, REPLICAS = 4096, 64
+from ._common import Scratch, spread
+
+CELLS, REPLICAS, PART = 4096, 64, 10_000
 
 
 def _place(label: str, cells: int) -> int:
@@ -72,26 +78,32 @@ def deal(counts: dict[int, int], n_shards: int, load_factor: float = 0.0, cells:
 
 
 def shard(docs: DataFrame, n_shards: int = 8, load_factor: float = 0.0, cells: int = CELLS) -> DataFrame:
-    spark = docs.sparkSession
-    rows = docs.select(
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "sharding")
+    key = ["doc_id", "size", "text_crc32"]
+    rows = spread(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(cells)).cast("int"))
-    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most `cells` rows
+    lines = scratch.save(rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int")), "lines")
+    counts = {r["cell"]: r["n"] for r in lines.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # at most `cells` rows
     segments = deal(counts, n_shards, load_factor, cells)
     by_cell: dict[int, list] = {}
     for c, rank, s, slot in segments:
         by_cell.setdefault(c, []).append((rank, s, slot))
     listed = json.dumps([{"cell": c, "seg": [dict(zip(("rank", "shard", "slot"), x)) for x in sorted(v)]} for c, v in by_cell.items()])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<cell:int,seg:array<struct<rank:bigint,shard:int,slot:bigint>>>>")))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "size", "text_crc32")) - 1
-    placed = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(table), "cell")  # bounded by `cells`
-    seg = F.element_at(F.filter("seg", lambda x: x["rank"] <= F.col("rank")), -1)
-    placed = placed.withColumn("s", seg)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = lines.withColumn("first", before.cast("long"))
+    few = ranked.where(F.col("n") <= PART).select(*key, "cell", "first", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    if not lines.where(F.col("n") > PART).isEmpty():
+        parts = ranked.where(F.col("n") > PART).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PART).cast("long"))))
+        parts = parts.repartition(F.col("cell"), F.col("at"))
+        few = few.unionByName(parts.select(*key, "cell", "first", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + PART, F.col("n")) - 1)).alias("i")))
+    placed = few.withColumn("rank", F.col("first") + F.col("i")).join(F.broadcast(table), "cell")  # bounded by `cells`
+    placed = placed.withColumn("s", F.element_at(F.filter("seg", lambda x: x["rank"] <= F.col("rank")), -1))
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("s.shard").alias("shard"),
+        *key, F.lit("rows").alias("law"), F.col("s.shard").alias("shard"),
         (F.col("s.slot") + F.col("rank") - F.col("s.rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
