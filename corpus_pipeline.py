@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; every result is written as Parquet and read again.
+
+Defined cases: documents with a null or empty text, or with under ten words, go in
+the first stage; of repeated rows and of rows that share a null doc_id one of each
+text stays, as of near copies; an empty table gives an empty result, an empty
+benchmark removes nothing; very long texts pass whole; further columns of documents,
+whatever their names, reach the last stage unchanged, but for ``n_chars``, which
+follows the text.
 """
 
 from __future__ import annotations
