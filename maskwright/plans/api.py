@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import os
+import subprocess
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,8 +68,12 @@ def guard(src: Path, dst: Path) -> None:
 def lock_down(path: Path) -> str | None:
     """Only the owner may enter; a failure is a warning."""
     try:
-        path.chmod(0o700)
-    except OSError as e:
+        if os.name == "nt":
+            own = f"{os.environ.get('USERNAME', '')}:(OI)(CI)F"
+            subprocess.run(["icacls", str(path), "/inheritance:r", "/grant:r", own], check=True, capture_output=True)
+        else:
+            path.chmod(0o700)
+    except (OSError, subprocess.CalledProcessError) as e:
         return f"could not restrict {path}: {e}"
     return None
 
