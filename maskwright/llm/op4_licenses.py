@@ -2,8 +2,8 @@
 
 The index has a posting (template, position) for every word of every licence
 passage; words are weighed by their inverse document frequency, counted over all
-documents. Of the licence words that a file holds, those of highest weight are looked
-up, and their postings vote for the stretch of places where the template would start:
+documents. A file that lacks the rarest word of a passage's key phrases is done with.
+Of the words that a file shares with a passage, those of highest weight are looked up, and their postings vote for the stretch of places where the template would start:
 the file's place less the template's. Stretches overlap, so that words put in or left
 out on the way don't part the votes. Where a template has votes enough it is aligned
 with the words there, in order, and its mandatory key phrases must stand among them,
@@ -105,9 +105,9 @@ FILLING = frozenset(b"the a an terms and conditions of either or both any later
 LONGEST_LEAD = 16
 # An attribution licence with one of these behind its name is another licence.
 OTHER_CC = frozenset(b"nc nd sa noncommercial non noderivs noderivatives no sharealike share".split())
-#: Rarest words of a template, one of which must be there; highest-weighing words of a file that are looked up.
-RARE, FILE_WORDS = 12, 96
-#: Words that may be put in or left out ahead of a place; share of a template's weight that votes, and of its words that must align.
+#: Of the words that a file shares with a passage, so many of highest weight are looked up.
+FILE_WORDS = 24
+#: Words that may be put in or left out ahead of a place; share of the weight looked up that must vote, and of a passage's words that must align.
 SHIFT, LEAST_VOTE, LEAST_SCORE = 16, 0.5, 0.8
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -182,16 +182,19 @@ class Index:
         self.phrases, self.templates = _phrases(), _templates()
         self.notices = _notices()
         self.base, self.names = self._by_rarest(self.phrases), self._by_rarest(self.notices)
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.weight, rare = [], set()
-        for k, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((k, i))
-            self.weight.append(sum(map(self.idf, words)))
-            rare.update(sorted(set(words), key=lambda w: (-self.idf(w), w))[:RARE])
-        self.rare = frozenset(rare)
+        # a passage can only be where all words of its key phrases are, so the rarest of them must be
+        self.needs = [frozenset(w for key in keys for w in key) for _, _, keys in self.templates]
+        self.places = [self._places(words) for _, words, _ in self.templates]
+        self.rare = frozenset(max(words, key=lambda w: (self.idf(w), w)) for words in self.needs)
         self.keys = frozenset(self.base) | self.rare | frozenset(self.names)
 
+    @staticmethod
+    def _places(words: list[bytes]) -> dict[bytes, list[int]]:
+        out: dict[bytes, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            out[w].append(i)
+        return out
+
     def _by_rarest(self, phrases: list[tuple[str, list[bytes]]]) -> dict[bytes, list[tuple[int, int]]]:
         out: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words) in enumerate(phrases):
@@ -212,21 +215,28 @@ class Index:
                 ends.add(end)
         return labels
 
-    def _passages(self, words: list[bytes], held: frozenset[bytes]) -> dict[str, float]:
-        """label -> score of the templates that stand in ``words``; ``held`` are the licence words among them."""
-        best: dict[str, float] = {}
-        chosen = frozenset(sorted(held, key=lambda w: (-self.idf(w), w))[:FILE_WORDS])
+    def _passages(self, words: list[bytes], present: set[bytes]) -> dict[str, float]:
+        """label -> score of the templates that stand in ``words``; ``present`` are the different ones."""
+        postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        needed: dict[int, float] = {}
+        for k, places in enumerate(self.places):
+            if self.needs[k] <= present:
+                rarest = sorted(places.keys() & present, key=lambda w: (-self.idf(w), w))[:FILE_WORDS]
+                needed[k] = LEAST_VOTE * sum(self.idf(w) * len(places[w]) for w in rarest)
+                for w in rarest:
+                    postings[w] += [(k, i) for i in places[w]]
         votes: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
-        for i, w in enumerate(words):
-            if w in chosen:
-                for k, at in self.postings[w]:
+        for i, w in enumerate(words) if needed else ():
+            if w in postings:
+                for k, at in postings[w]:
                     stretch = (i - at) // SHIFT
                     # stretches are two SHIFTs wide and overlap by half
                     for part in (stretch - 1, stretch):
                         votes[k, part][at] = self.idf(w)
+        best: dict[str, float] = {}
         for (k, part), own in votes.items():
             label, t, keys = self.templates[k]
-            if sum(own.values()) < LEAST_VOTE * self.weight[k]:
+            if sum(own.values()) < needed[k]:
                 continue
             start = part * SHIFT
             there = words[max(0, start) : max(0, start + 2 * SHIFT + len(t) + SHIFT)]
@@ -256,9 +266,8 @@ class Index:
                         named.append((i - at, k))
         own = labels | self._noticed(words, named)
         score = 1.0 if own else 0.0
-        held = frozenset(self.postings.keys() & set(words))
-        if not held.isdisjoint(self.rare):
-            found = self._passages(words, held)
+        if not self.rare.isdisjoint(words):
+            found = self._passages(words, set(words))
             own |= found.keys()
             score = max([score, *found.values()])
         return n, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(own)), score
