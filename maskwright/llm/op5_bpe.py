@@ -8,26 +8,28 @@ stand side by side is found from the merges across their border alone. Following
 the stored tokens back from the end gives the ids.
 
 Defined cases: a null or empty text has no tokens; repeated rows are encoded
-alike; an empty table gives an empty result; other columns are ignored. Text that
-spells a special token becomes that token, as in the public library.
+alike; an empty table gives an empty result; a very long text is encoded in time that
+grows with it; other columns are ignored, whatever their names. Text that spells a
+special token becomes that token, as in the public library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import sys
-from array import array
+import re
+import struct
+import unicodedata
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import sliced, spread
 
 END, MARK = "</w>", "\ue000"
 CACHE_WORDS, CACHE_PAIRS = 300_000, 400_000
+LATIN_END = 0x250  # up to here the library's letters, numbers and spaces are Python's, whatever the Unicode version
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -45,8 +47,7 @@ class WordBpe:
         library = Tokenizer.from_file(path)
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.on_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.on_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         vocab: dict[str, int] = model["vocab"]
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         # Byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on.
@@ -67,8 +68,14 @@ class WordBpe:
             self.size[i] = len(body)
             self.matches.add_word(body + MARK if ended else body, i)
         self.matches.make_automaton()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        letters, numbers, spaces = self._latin()
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for sign, chars in ((r"\p{L}", letters), (r"\p{N}", numbers), (r"\s", spaces)):
+            pattern = pattern.replace(sign, chars)
+        self.cut_latin = re.compile(pattern).findall
+        self.beyond_latin = re.compile(f"[^\\x00-{chr(LATIN_END - 1)}]").search
+        self.ids, self.texts = _Known(self._ids_of), _Known(self._text_of)
+        self.pairs: dict[int, bool] = {}  # by both ids in one number
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether merging the letters of ``a`` and ``b`` together gives just these two tokens.
@@ -76,9 +83,6 @@ class WordBpe:
         Undo, from the border outwards, whichever token was made last; at each
         point no merge across the border may come before the one undone.
         """
-        got = self.pairs.get((a, b))
-        if got is not None:
-            return got
         x, y, limit, ok = a, b, None, None
         while ok is None:
             r = self.rank.get((x, y))
@@ -95,65 +99,103 @@ class WordBpe:
                 limit, y = (my[0], True), my[1]
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        self.pairs[a, b] = ok
+        self.pairs[a << 32 | b] = ok
         return ok
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """Ids of one pre-token, already in the byte-level alphabet."""
-        n = len(word)
-        last: list[int] = [-1] * (n + 1)
-        ends: list[list[int]] = [[] for _ in range(n + 2)]
+    def encode_word(self, word: str) -> list[int]:
+        """Ids of one pre-token, already in the byte-level alphabet.
+
+        Matches come by their ends, at each end the longest first, so the first that may stand there is the one.
+        """
+        n, size, pairs = len(word), self.size, self.pairs
+        last = [-1] * (n + 1)
         for end, token in self.matches.iter(word + MARK):
-            ends[end + 1].append(token)
-        size = self.size
-        for i in range(1, n + 1):
-            # the last letter only stands with the word's end
-            for token in sorted(ends[i] if i < n else ends[n + 1], key=size.__getitem__, reverse=True):
-                before = i - size[token]
-                if before == 0 or (last[before] >= 0 and self.may_follow(last[before], token)):
-                    last[i] = token
-                    break
-        out, i = [], n
-        while i > 0:
-            out.append(last[i])
-            i -= size[last[i]]
-        return tuple(reversed(out))
-
-    def word_ids(self, piece: str) -> tuple[int, ...]:
-        ids = self.words.get(piece)
-        if ids is None:
-            ids = self.encode_word("".join([self.table[b] for b in piece.encode()]))
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> array:
-        ids = array("I")
+            # the last letter only stands with the word's end, whose matches end one place on
+            at = end + 1 if end + 1 < n else n if end == n else 0
+            if at and last[at] < 0:
+                before = at - size[token]
+                left = last[before]
+                if before == 0:
+                    last[at] = token
+                elif left >= 0:
+                    ok = pairs.get(left << 32 | token)
+                    if ok is None:
+                        ok = self.may_follow(left, token)
+                    if ok:
+                        last[at] = token
+        out, at = [], n
+        while at > 0:
+            out.append(last[at])
+            at -= size[last[at]]
+        out.reverse()
+        return out
+
+    @staticmethod
+    def _latin() -> tuple[str, str, str]:
+        """Letters, numbers and spaces of the Latin blocks, as the inside of a character class."""
+        chars = list(map(chr, range(LATIN_END)))
+        kind = lambda first: "".join(f"\\u{ord(c):04x}" for c in chars if unicodedata.category(c)[0] == first)
+        return kind("L"), kind("N"), "\\t-\\r \\x85\\xa0"
+
+    def _ids_of(self, piece: str) -> bytes:
+        """A piece's ids as little-endian 32-bit integers."""
+        return _packed(self.encode_word("".join([self.table[b] for b in piece.encode()])))
+
+    def _text_of(self, piece: str) -> str:
+        """What a piece's ids decode to."""
+        return self.decode(ids_in(self.ids[piece]))
+
+    def encode_and_decode(self, text: str) -> tuple[bytes, str]:
+        """Ids as little-endian 32-bit integers, and what they decode to. Pieces met before are looked up."""
+        ids, back = [], []
         for part in self.on_special.split(text):
             if part in self.special:
-                ids.append(self.special[part])
+                ids.append(_packed((self.special[part],)))
+                back.append(part)
             elif part:
-                if part.isascii():
-                    found = self.pieces.findall(part.lower())
+                part = part.lower() if part.isascii() else self.normalize(part)
+                if self.beyond_latin(part):
+                    # the library's letters and numbers may be of another Unicode version
+                    for mapped, _ in self.cut(part):
+                        word = self.encode_word(mapped)
+                        ids.append(_packed(word))
+                        back.append(self.decode(word))
                 else:
-                    part = self.normalize(part)
-                    # the library's letters and numbers may be of another Unicode version outside Latin script
-                    found = self.pieces.findall(part) if max(part) < "ɐ" else None
-                    if found is None:
-                        for mapped, _ in self.cut(part):
-                            ids.extend(self.encode_word(mapped))
-                        continue
-                get = self.words.get
-                for piece in found:
-                    ids.extend(get(piece) or self.word_ids(piece))
-        return ids
+                    found = self.cut_latin(part)
+                    ids += map(self.ids.__getitem__, found)
+                    back += map(self.texts.__getitem__, found)
+        return b"".join(ids), " ".join(back)
+
+    def encode(self, text: str) -> tuple[int, ...]:
+        return ids_in(self.encode_and_decode(text)[0])
 
     def decode(self, ids) -> str:
         text = self.text
         return " ".join([text[i] for i in ids])
 
 
+class _Known(dict):
+    """Values by piece, made when first asked for; forgotten when there are too many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[piece] = value = self.make(piece)
+        return value
+
+
+def _packed(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def ids_in(data: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(data) // 4}I", data)
+
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -171,15 +213,12 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         for b in sliced(batches):
             n, one, two, all_ids, texts = [], [], [], [], []
             for t in b.column(1).to_pylist():
-                ids = bpe.encode(t or "")
-                back = bpe.decode(ids)
-                n.append(len(ids))
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                one.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                ids, back = bpe.encode_and_decode(t or "")
+                n.append(len(ids) // 4)
+                one.append(hashlib.sha256(ids).hexdigest())
                 two.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(list(ids))
+                    all_ids.append(ids_in(ids))
                     texts.append(back)
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
