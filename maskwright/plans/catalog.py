@@ -121,7 +121,26 @@ def key_borders(spark, sf_dir):
     return found(rows).where("category = 'aws_key'").select("id", "value")
 
 
-@query()
+def _runs(name: str, pattern: str, category: str, test: str) -> str:
+    """SQL for the maximal runs of some characters in documents, with their places, that pass a test."""
+    return f"""
+{name}_cut as (select doc_id, regexp_extract_all(text, '{pattern}') m, regexp_split_to_array(text, '{pattern}') g from documents where regexp_matches(text, '{pattern}')),
+{name}_at as (select doc_id, m[i] v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) s from (select *, unnest(range(1, len(m) + 1)) i from {name}_cut)),
+{name} as (select doc_id, cast(s as integer) s, cast(s + length(v) as integer) e, '{category}' category from {name}_at where {test})"""
+
+
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_NUMBER = "list_transform(string_split(v, ''), lambda x: cast(x as integer))"
+_SUM = f"list_sum(list_transform({_NUMBER}, lambda x, i: case when (len({_NUMBER}) - i) % 2 = 1 then case when x > 4 then 2 * x - 9 else 2 * x end else x end)) % 10 = 0"
+#: In these texts a value is a run of its characters, and no two values overlap.
+_DOCUMENT_SPANS = "with " + ",".join([
+    _runs("mails", "[A-Za-z0-9_.%+@-]+", "email", "regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')"),
+    _runs("addresses", "[0-9.]+", "ipv4", f"regexp_full_match(v, '({_OCTET}[.]){{3}}{_OCTET}')"),
+    _runs("cards", "[0-9]+", "credit_card", f"case when length(v) between 13 and 19 then {_SUM} else false end"),
+]) + " select * from mails union all select * from addresses union all select * from cards"
+
+
+@query(_DOCUMENT_SPANS)
 def documents_spans(spark, sf_dir):
     return found(table(spark, sf_dir, "documents").select("doc_id", "text"), keys=("doc_id",)).select("doc_id", "s", "e", "category")
 
