@@ -126,7 +126,7 @@ def _runs(name: str, pattern: str, category: str, test: str) -> str:
     return f"""
 {name}_cut as (select doc_id, regexp_extract_all(text, '{pattern}') m, regexp_split_to_array(text, '{pattern}') g from documents where regexp_matches(text, '{pattern}')),
 {name}_at as (select doc_id, m[i] v, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) s from (select *, unnest(range(1, len(m) + 1)) i from {name}_cut)),
-{name} as (select doc_id, cast(s as integer) s, cast(s + length(v) as integer) e, '{category}' category from {name}_at where {test})"""
+{name} as (select doc_id, cast(s as integer) s, cast(s + length(v) as integer) e, '{category}' category, v from {name}_at where {test})"""
 
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -137,10 +137,10 @@ _DOCUMENT_SPANS = "with " + ",".join([
     _runs("mails", "[A-Za-z0-9_.%+@-]+", "email", "regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')"),
     _runs("addresses", "[0-9.]+", "ipv4", f"regexp_full_match(v, '({_OCTET}[.]){{3}}{_OCTET}')"),
     _runs("cards", "[0-9]+", "credit_card", f"case when length(v) between 13 and 19 then {_SUM} else false end"),
-]) + " select * from mails union all select * from addresses union all select * from cards"
+]) + ", found as (select * from mails union all select * from addresses union all select * from cards) "
 
 
-@query(_DOCUMENT_SPANS)
+@query(_DOCUMENT_SPANS + "select doc_id, s, e, category from found")
 def documents_spans(spark, sf_dir):
     return found(table(spark, sf_dir, "documents").select("doc_id", "text"), keys=("doc_id",)).select("doc_id", "s", "e", "category")
 
@@ -320,7 +320,16 @@ def tokenize_odd_keys(spark, sf_dir):
     return rewrite.pseudonymise(odd, entries).select("id", "text")
 
 
-@query()
+_DOCUMENT_ALIASES = """,
+keyed as (select *, case category when 'email' then lower(v) else v end k, case category when 'email' then 'EMAIL' when 'ipv4' then 'IP' else 'CC' end prefix from found),
+firsts as (select prefix, k, min(struct_pack(d := doc_id, at := s)) f from keyed group by all),
+aliases as (select *, '<' || prefix || '_' || row_number() over (partition by prefix order by f) || '>' alias from firsts),
+put as (select keyed.doc_id, s, e, alias, lag(e, 1, 0) over (partition by keyed.doc_id order by s) before from keyed join aliases using (prefix, k)),
+done as (select p.doc_id, string_agg(substr(text, before + 1, s - before) || alias, '' order by s) || substr(any_value(text), max(e) + 1) masked, count(*) n from put p join documents d on d.doc_id = p.doc_id group by p.doc_id)
+"""
+
+
+@query(_DOCUMENT_SPANS + _DOCUMENT_ALIASES + "select doc_id, coalesce(masked, text) text, coalesce(n, 0) replacements from documents left join done using (doc_id)")
 def tokenize_documents(spark, sf_dir):
     """The whole of ``documents`` detected, numbered and rewritten."""
     docs = written(with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), registry.active()), "spans")
