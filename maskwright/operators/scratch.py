@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder. Where none is set, a local session gets a folder that goes with the process; a cluster can't do without."""
@@ -25,10 +29,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def note(path: str) -> str:
+    """``path``, which goes with the innermost ``cleared`` that is open, if any."""
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end; what shall stay must be written elsewhere or collected by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _made.pop())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once and read back; survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = note(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

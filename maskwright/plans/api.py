@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions import registry
 from ..operators import aliases, audit, custody, flagging, report, rewrite
-from ..operators.scratch import written
+from ..operators.scratch import cleared, written
 from ..operators.spans import occurrences, with_spans
 from ..sources import config, filetree, vault
 from .progress import Event, Meter
@@ -145,7 +145,8 @@ def verify(spark: SparkSession, dst: str, opts: Options) -> dict:
     """Search a masked tree again, entities' identifiers too if a table is given."""
     cfg = opts.resolve()
     detectors = registry.active(cfg.disable, cfg.enable, cfg.custom, cfg.denylist)
-    return verify_tree(spark, dst, detectors, cfg)
+    with cleared(spark):
+        return verify_tree(spark, dst, detectors, cfg)
 
 
 def verify_tree(spark: SparkSession, dst: str, detectors, cfg: config.Settings) -> dict:
@@ -193,7 +194,7 @@ def _masked_tree(spark: SparkSession, source: Path, cfg: config.Settings, tables
     total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
     meter.expect(total["n"], total["size"])
     meter.tell("mask")
-    docs = filetree.read_documents(files, cfg.max_bytes, cfg.stream_threshold, detectors, cfg.allow, seen=meter.bytes)
+    docs = filetree.read_documents(files, cfg.max_bytes, cfg.stream_threshold, detectors, cfg.allow, seen=(meter.bytes, meter.files))
     return mask(docs, detectors, tables, cfg.allow, opts), detectors
 
 
@@ -205,7 +206,7 @@ def _warnings(stats: DataFrame) -> list[str]:
 def run_scan(spark: SparkSession, src: str, opts: Options | None = None) -> dict:
     """Detect and report; nothing masked is written and a vault is only read."""
     opts = opts or Options()
-    with _key_kept(opts), Meter(spark, opts.progress) as meter:
+    with _key_kept(opts), cleared(spark), Meter(spark, opts.progress) as meter:
         source, cfg = _prepare(spark, src, opts)
         tables = vault.Vault(opts.project).load(spark) if opts.project else vault.empty(spark)
         table = opts.entities or (str(Path(opts.project) / "entities.csv") if opts.project else None)
@@ -259,7 +260,7 @@ def run_strip(spark: SparkSession, src: str, dst: str, opts: Options | None = No
         raise ValueError("the vault must not be inside the source or target tree")
     with _key_kept(opts):
         source, cfg = _prepare(spark, src, opts)
-        with vault.Vault(str(root)) if root else nullcontext() as store, Meter(spark, opts.progress) as meter:
+        with vault.Vault(str(root)) if root else nullcontext() as store, cleared(spark), Meter(spark, opts.progress) as meter:
             return _strip(spark, source, target, cfg, store, opts, meter)
 
 
@@ -312,12 +313,13 @@ def run_reverse(spark: SparkSession, source: str, target: str, map_path: str) ->
         raise FileNotFoundError(f"not a file: {source}")
     entries = vault.load_aliases(spark, map_path)
     files = spark.createDataFrame([(p.name, str(p), p.stat().st_size, 0)], "rel string, path string, size long, file_ord long")
-    docs = written(rewrite.reverse(filetree.read_documents(files), entries), "reversed")
-    if docs.where("text is not null").isEmpty():
-        raise ValueError(f"not a text file: {source}")
-    # the mirror writer names its file after ``rel``
-    filetree.write_mirror(docs.withColumn("rel", F.lit(out.name)), str(p.parent), str(out.parent)).count()
-    return docs.agg(F.sum("replacements")).first()[0]
+    with cleared(spark):
+        docs = written(rewrite.reverse(filetree.read_documents(files), entries), "reversed")
+        if docs.where("text is not null").isEmpty():
+            raise ValueError(f"not a text file: {source}")
+        # the mirror writer names its file after ``rel``
+        filetree.write_mirror(docs.withColumn("rel", F.lit(out.name)), str(p.parent), str(out.parent)).count()
+        return docs.agg(F.sum("replacements")).first()[0]
 
 
 def run_reconcile(spark: SparkSession, source: str, target: str, map_path: str | None = None, project: str | None = None) -> dict:
@@ -330,7 +332,7 @@ def run_reconcile(spark: SparkSession, source: str, target: str, map_path: str |
         raise ValueError("reconcile needs a map or a project")
     if dst.exists() and (not dst.is_dir() or any(dst.iterdir())):
         raise ValueError(f"output is not an empty directory: {dst}")
-    with vault.Vault(project) if not map_path else nullcontext() as store:
+    with vault.Vault(project) if not map_path else nullcontext() as store, cleared(spark):
         if store and not store.known():
             raise FileNotFoundError(f"no map in {project}")
         entries = store.load(spark).entries if store else vault.load_aliases(spark, map_path)

@@ -191,7 +191,7 @@ def read_documents(files: DataFrame, max_bytes: int = 1 << 62, threshold: int =
 
     A file is read twice, first for its hash and encoding, so that what is no text
     to the end is known before any of it is given out. A huge file never is in
-    memory as a whole. ``seen``, an accumulator, counts bytes read.
+    memory as a whole. ``seen``, two accumulators, counts bytes and files read.
     """
     gated = files.withColumn("gate", status_gate(F.col("rel"), F.col("size"), max_bytes)).select("rel", "path", "size", "file_ord", "gate")
     names = [c.split()[0] for c in DOCS.split(", ")]
@@ -200,9 +200,11 @@ def read_documents(files: DataFrame, max_bytes: int = 1 << 62, threshold: int =
 
     def counted(path):
         for block in blocks(path):
-            if seen is not None:
-                seen.add(len(block))
+            if seen:
+                seen[0].add(len(block))
             yield block
+        if seen:
+            seen[1].add(1)
 
     def rows(r):
         status, encoding, sha = survey(counted(r["path"]))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aliases, rewrite
-from ..operators.scratch import written
+from ..operators.scratch import cleared, written
 from ..operators.spans import occurrences, with_spans
 
 
@@ -36,12 +36,13 @@ class Sink:
 
     def __call__(self, batch: DataFrame, n: int) -> None:
         """Rows are rewritten from their own spans, so the key may be null or repeated; it only orders what is numbered."""
-        docs = written(with_spans(batch.select(F.col(self.key), "text"), self.detectors, "text", self.allow), "batch")
-        occ = occurrences(docs, [self.key]).withColumn("file_ord", F.col(self.key)).withColumn("rel", F.col(self.key).cast("string"))
-        entries = aliases.assign(occ, self.dictionary(n), aliases.empty_entities(self.spark))
-        entries.write.mode("overwrite").parquet(f"{self.root}/entries/batch={n}")
-        entries = self.spark.read.schema(aliases.ENTRIES).parquet(f"{self.root}/entries/batch={n}")
-        rewrite.pseudonymise(docs, entries).write.mode("overwrite").parquet(f"{self.root}/masked/batch={n}")
+        with cleared(self.spark):
+            docs = written(with_spans(batch.select(F.col(self.key), "text"), self.detectors, "text", self.allow), "batch")
+            occ = occurrences(docs, [self.key]).withColumn("file_ord", F.col(self.key)).withColumn("rel", F.col(self.key).cast("string"))
+            entries = aliases.assign(occ, self.dictionary(n), aliases.empty_entities(self.spark))
+            entries.write.mode("overwrite").parquet(f"{self.root}/entries/batch={n}")
+            entries = self.spark.read.schema(aliases.ENTRIES).parquet(f"{self.root}/entries/batch={n}")
+            rewrite.pseudonymise(docs, entries).write.mode("overwrite").parquet(f"{self.root}/masked/batch={n}")
 
 
 def run_available(stream: DataFrame, sink: Sink) -> None:

@@ -1,6 +1,7 @@
 """Whole runs over small trees: masking, vault, entities, reversal, reconciliation, exit codes."""
 
 import json
+import os
 
 import pytest
 
@@ -119,6 +120,19 @@ print(status, n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
     assert status == "processed" and int(n) == path.stat().st_size > 60 << 20 and int(more) < 60 << 10
 
 
+def test_runs_leave_no_scratch(spark, tmp_path):
+    from maskwright.operators.scratch import shared_dir
+
+    here = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    src = tree(tmp_path / "in", {"a.log": "10.0.0.5"})
+    before = here()
+    out = api.run_strip(spark, src, str(tmp_path / "out"))
+    api.run_scan(spark, src)
+    api.run_reverse(spark, str(tmp_path / "out/a.log"), str(tmp_path / "back.log"), out["decode_map"])
+    api.run_reconcile(spark, str(tmp_path / "out"), str(tmp_path / "out2"), out["decode_map"])
+    assert api.verify(spark, str(tmp_path / "out"), api.Options())["clean"] and here() == before
+
+
 def test_progress(spark, tmp_path):
     import io
 
