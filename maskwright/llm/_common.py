@@ -9,7 +9,7 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.scratch import shared_dir, spread
+from ..operators.scratch import cleared, delete, note, shared_dir, spread
 
 # Python's bytes.split() and the class [^\x20\x09-\x0D]+ agree: both cut at
 # the six ASCII white-space characters only.
@@ -85,7 +85,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        self.root = note(f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -97,11 +97,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later table depends on any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+        delete(self.spark, [self.path(name) for name in names])
 
 
 def small_side(df: DataFrame, limit_rows: int):
@@ -175,4 +171,4 @@ def gram_hashes(h: np.ndarray, k: int, base: np.uint64 = MULT) -> np.ndarray:
     return mix(acc)
 
 
-__all__ = ["Appender", "MULT", "MULT_B", "Ranges", "Scratch", "dealt", "gram_hashes", "joined_near", "mix", "open_file", "own_name", "powers", "sliced", "small_side", "spread", "word_hashes"]
+__all__ = ["Appender", "MULT", "MULT_B", "Ranges", "Scratch", "cleared", "dealt", "gram_hashes", "joined_near", "mix", "open_file", "own_name", "powers", "sliced", "small_side", "spread", "word_hashes"]
