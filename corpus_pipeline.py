@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm._common import Scratch
+from maskwright.llm._common import Scratch, cleared
 from maskwright.llm.op3_bagminhash import keep_one
 from maskwright.llm.op5_bpe import encode_documents, vocabulary_path
 from maskwright.llm.op6_secrets import redact
@@ -58,7 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with cleared(spark):  # what a stage wrote on its way goes
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if before:
             scratch.drop(before)
         before = name
