@@ -47,9 +47,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, joined_near, sliced, spread
+from ._common import Scratch, joined_near, sliced, small_side, spread
 
-LEAST_PAGES, LEAST_SHARE, LEAST_CLASS, BROADCAST_ROWS, KNOWN = 4, 0.5, 2, 20_000, 1_000
+LEAST_PAGES, LEAST_SHARE, LEAST_CLASS, BROADCAST_ROWS, BROADCAST_HOSTS, KNOWN = 4, 0.5, 2, 20_000, 1_000_000, 1_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>?|<[!?][^>]*>?|[^<]+|<""", re.S)
 # HTML elements by their part in a page.
@@ -367,8 +367,9 @@ def deduce_templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     once = once.select("host", "part", "token", *(F.expr(f"if(part, {x}, {name})").alias(name) for name, x in one.items()))
     sums = [F.sum(name).alias(name) for name in one]
     seen = scratch.save(once.groupBy("host", "part", "token").agg(*sums), "tokens")
-    total = seen.where("token = 0").select(F.col("host").alias("h"), F.col("part").alias("of"), F.col("n").alias("pages"))
-    frequent = seen.where(f"token <> 0 and n >= {LEAST_PAGES}").join(total, (F.col("host") == F.col("h")) & (F.col("part") == F.col("of")) & (F.col("n") >= F.col("pages") * LEAST_SHARE))
+    total = scratch.save(seen.where("token = 0").select(F.col("host").alias("h"), F.col("part").alias("of"), F.col("n").alias("pages")), "pages")
+    # the rows of a host with very many tokens stay where they are
+    frequent = seen.where(f"token <> 0 and n >= {LEAST_PAGES}").join(small_side(total, BROADCAST_HOSTS), (F.col("host") == F.col("h")) & (F.col("part") == F.col("of")) & (F.col("n") >= F.col("pages") * LEAST_SHARE))
     # tokens of a class are on the same pages, so the sums of their places are in the order of the pages
     classes = frequent.groupBy("host", "part", "n", "high", "low").agg(F.array_sort(F.collect_list(F.struct("all_at", "token"))).alias("members")).where(F.size("members") >= LEAST_CLASS)
     classes = classes.withColumn("tokens", F.filter("members", lambda x: x["all_at"] >= 0)["token"])
@@ -385,7 +386,7 @@ def extract(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "html")
     pages = spread(pages).selectExpr("cast(page_id as long) page_id", "url", "html")
     templates = deduce_templates(pages, scratch)
-    scratch.drop("tokens")
+    scratch.drop("tokens", "pages")
     # the same function as above, so that every host finds its template
     host = F.arrow_udf(_host, "string")("url")
 
