@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -15,7 +17,7 @@ from ..operators.scratch import cleared, delete, note, shared_dir, spread
 # the six ASCII white-space characters only.
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MULT_B = np.uint64(0xD6E8FEB86659FD93)
-SLICE_ROWS, OPEN_FILES, RANGE_BYTES, SALT = 256, 16, 16 << 20, 16
+SLICE_ROWS, OPEN_FILES, RANGE_BYTES, SALT, BATCH_BYTES = 256, 16, 16 << 20, 16, 4 << 20
 
 
 def sliced(batches):
@@ -80,6 +82,18 @@ class Ranges:
         return self.streams[file].read_at(size, at)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_BYTES`` for what is planned and run inside; the session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written in the shared folder: they cut lineage and outlive executors."""
 
@@ -92,7 +106,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
