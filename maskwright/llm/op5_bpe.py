@@ -166,6 +166,11 @@ class WordBpe:
                     back += map(self.texts.__getitem__, found)
         return b"".join(ids), " ".join(back)
 
+    def forget(self) -> None:
+        """Give back what known words take."""
+        for known in (self.ids, self.texts, self.pairs):
+            known.clear()
+
     def encode(self, text: str) -> tuple[int, ...]:
         return ids_in(self.encode_and_decode(text)[0])
 
@@ -226,6 +231,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 arrays += [pa.array(all_ids, pa.list_(pa.int64())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
+        # a worker lives on, and what runs in it next may need the room
+        bpe.forget()
 
     return spread(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<long>, decoded string" * with_ids)
 
