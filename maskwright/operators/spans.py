@@ -3,8 +3,7 @@
 Texts go to Python workers in Arrow batches and only places, values and keys come
 back: the patterns mean what Python's mean, borders next to combining marks
 included, guards spare most texts most patterns, and time grows in proportion to
-the text. Measured over ``documents`` of sf0.1 this takes a twentieth of the time
-of the same patterns in JVM functions.
+the text. The README compares it with the same patterns in JVM functions.
 """
 
 from __future__ import annotations
