@@ -7,11 +7,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.scratch import cleared, delete, note, shared_dir, spread
+from ..operators.scratch import cleared, delete, note, open_file, shared_dir, spread
 
 # Python's bytes.split() and the class [^\x20\x09-\x0D]+ agree: both cut at
 # the six ASCII white-space characters only.
@@ -35,13 +34,6 @@ def own_name(stem: str, names: list[str]) -> str:
     return name
 
 
-def open_file(uri: str):
-    """(file system, path) of a file in the shared folder, for readers and writers of single bytes."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    return pafs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
-
-
 class Appender:
     """A new file below ``folder``, made with the first bytes; named by chance, so that a repeated task writes another one."""
 
