@@ -1,5 +1,8 @@
 """Rewriting as a SQL function, with dictionaries that go to the tasks and larger ones."""
 
+import mmap
+
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,10 +31,16 @@ def test_mask_text(spark, monkeypatch, most):
     assert want[1001] is None and "<IP_2>" in want[500] and "10.0.0.6" in want[6] and want[1003].endswith("x <IP_3>")
 
 
-def test_lookup(spark):
+def test_lookup(spark, monkeypatch):
     mapping = written(spark.range(200_000).selectExpr("'k' || id mk", "case when id % 5 > 0 then repeat('é', cast(id % 4 as int)) || id end new"), "mapping")
     found = lookup.packed(mapping)
     assert len(found.files) > 1 and sum(f[2] for f in found.files) == 160_000
     keys = [f"k{i}" for i in range(-300, 200_300, 7)]
-    assert found.table(keys) == {f"k{i}": "é" * (i % 4) + str(i) for i in range(-300, 200_300, 7) if 0 <= i < 200_000 and i % 5}
+    want = {f"k{i}": "é" * (i % 4) + str(i) for i in range(-300, 200_300, 7) if 0 <= i < 200_000 and i % 5}
+    assert found.table(keys) == want and isinstance(next(iter(found.open.values())), mmap.mmap)
+    # a store whose files can't be mapped, and fewer files kept than there are
+    monkeypatch.setattr(lookup, "open_file", lambda uri: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), uri.removeprefix("file://").lstrip("/")))
+    monkeypatch.setattr(lookup, "KEPT", 1)
+    found = lookup.Lookup(found.folder, found.files)
+    assert found.table(keys) == want and [type(x) for x in found.open.values()] == [bytes]
     assert lookup.packed(mapping.limit(0)).table(keys) == {}
